@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, mixing, multiset
+from . import common, media, mixing, multiset, simhash
 
 
 def _shipping(query):
@@ -14,8 +14,10 @@ def _shipping(query):
 
 
 QUERIES = {
+    "op3_simhash_components": simhash.query,
     "op6_multiset_fingerprint": multiset.query,
     "op7_pareto_mixing": mixing.query,
+    "op10_png_media": media.query,
 }
 ORACLE = {
     "op6_multiset_fingerprint": multiset.SQL,
