@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, media, mixing, multiset, packing, simhash, token_counts, token_output
+from . import common, language_id, language_model, media, mixing, multiset, packing, simhash, token_counts, token_output
 
 
 def _shipping(query):
@@ -14,12 +14,14 @@ def _shipping(query):
 
 
 QUERIES = {
+    "op1_hmm_scoring": language_model.query,
     "op2_range_coded_ids": token_output.query,
     "op3_simhash_components": simhash.query,
     "op4_token_counts": token_counts.query,
     "op5_best_fit_packing": packing.query,
     "op6_multiset_fingerprint": multiset.query,
     "op7_pareto_mixing": mixing.query,
+    "op9_string_kernel_language": language_id.query,
     "op10_png_media": media.query,
 }
 ORACLE = {
