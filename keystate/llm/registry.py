@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, language_id, language_model, media, mixing, multiset, packing, simhash, token_counts, token_output
+from . import common, language_id, language_model, licences, media, mixing, multiset, packing, simhash, token_counts, token_output
 
 
 def _shipping(query):
@@ -21,10 +21,12 @@ QUERIES = {
     "op5_best_fit_packing": packing.query,
     "op6_multiset_fingerprint": multiset.query,
     "op7_pareto_mixing": mixing.query,
+    "op8_licence_rules": licences.query,
     "op9_string_kernel_language": language_id.query,
     "op10_png_media": media.query,
 }
 ORACLE = {
+    "op8_licence_rules": licences.SQL,
     "op6_multiset_fingerprint": multiset.SQL,
     "op7_pareto_mixing": mixing.SQL,
 }
