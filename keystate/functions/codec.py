@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 from ..schema import RUN_MAGIC
 
 
+def _turned(h: Column, size: int) -> Column:
+    """Hex digits with their bytes in opposite order; h is evaluated once."""
+    return F.regexp_replace(h, "(..)" * size, "".join(f"${i}" for i in range(size, 0, -1)))
+
+
 def be(x: Column, size: int = 4) -> Column:
     return F.unhex(F.lpad(F.hex(x.cast("long")), 2 * size, "0"))
 
 
 def le(x: Column, size: int = 4) -> Column:
-    h = F.lpad(F.hex(x.cast("long")), 2 * size, "0")
-    return F.unhex(F.concat(*[F.substring(h, 2 * i - 1, 2) for i in range(size, 0, -1)]))
+    return F.unhex(_turned(F.lpad(F.hex(x.cast("long")), 2 * size, "0"), size))
 
 
 def from_be(data: Column, pos: int | Column, size: int = 4) -> Column:
@@ -31,7 +35,7 @@ def from_be(data: Column, pos: int | Column, size: int = 4) -> Column:
 
 def from_le(data: Column, pos: int | Column, size: int = 4) -> Column:
     h = F.hex(data.substr(F.lit(pos) if isinstance(pos, int) else pos, F.lit(size)))
-    return F.conv(F.concat(*[F.substring(h, 2 * i - 1, 2) for i in range(size, 0, -1)]), 16, 10).cast("long")
+    return F.conv(_turned(h, size), 16, 10).cast("long")
 
 
 def _bytes(x: Column) -> Column:

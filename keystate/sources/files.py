@@ -141,7 +141,7 @@ def write_files(rows: DataFrame, folder: str, kind: str, name: str = "name") ->
     """
     image = {"log": log_image, "run": run_image}[kind]
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         from pyarrow import fs
 
         target = f"{folder.rstrip('/')}/{key[0].as_py()}"
