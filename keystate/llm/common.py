@@ -61,3 +61,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores added until no taken name equals it (case has no part in that)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name

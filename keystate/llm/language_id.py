@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -95,7 +96,7 @@ def _lowered(text: str) -> bytes:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from labelled rows: ``sample`` documents at most, as many for each language,
     those of the smallest hashes of their ids. Rows without text or language have no part."""
-    labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)))
+    labelled = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)))
     found = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not found:
         return fit([], [])
@@ -113,13 +114,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(texts, labels)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataFrame:
-    """keep's columns of docs with lang_pred and score, from the texts alone.
+def predict(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """keep's columns of docs with the language and its score (under ``names``), from the texts alone.
 
     ``und`` with score 0 where the text is null or has no letter (or nothing was
     learned). Score: the regression's value for the language, brought within 0 to 1.
     """
-    keep = list(keep)
+    keep, names = list(keep), list(names)
+    text = common.fresh("_text", keep)
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.constants))
 
     def run(batches):
@@ -127,7 +129,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> Dat
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                texts = part.column("_text").to_pylist()
+                texts = part.column(text).to_pylist()
                 langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
                 told = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model.languages else []
                 if told:
@@ -135,10 +137,11 @@ def predict(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> Dat
                     for i, best, v in zip(told, values.argmax(1).tolist(), values.max(1).tolist(), strict=True):
                         langs[i], scores[i] = model.languages[best], min(1.0, max(0.0, v))
                 columns = [part.column(c) for c in keep]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs), pa.array(scores, pa.float64())], names=[*keep, *names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields), "lang_pred string", "score double"])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    own = docs.select(*[F.col(f"`{c}`") for c in keep])
+    schema = T.StructType([*own.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(text)).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, modulus: int = 5) -> DataFrame:
@@ -156,8 +159,9 @@ def identify(docs: DataFrame, modulus: int = 5) -> DataFrame:
 def accepted(docs: DataFrame, modulus: int = 5, least: float = REJECTED) -> DataFrame:
     """docs without those whose language cannot be told: no letter, or no language scores ``least``."""
     model = train(docs.where(common.remainder("doc_id", modulus) != 0))
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return predict(docs, model, own).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*own)
+    names = common.fresh("lang_pred", docs.columns), common.fresh("score", docs.columns)
+    told = predict(docs, model, docs.columns, names)
+    return told.where((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= least)).drop(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

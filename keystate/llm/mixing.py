@@ -64,7 +64,7 @@ def mix(docs: DataFrame, size=None, weights=WEIGHTS, most=MOST, seed: str = "mix
     """
     words = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)) if size is None else size
     own = ["size", "source_size", "target", "copies", "taken"]
-    rest = [c for c in docs.columns if c not in own]
+    rest = [c for c in docs.columns if c.lower() not in own]
     x = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 12), 16, 10).cast("long")
     key = F.struct(x.alias("x"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"), words.cast("long").alias("n"))
     small = common.stored(docs.select(F.col("source").alias("_s"), key.alias("_key")), "mix")
@@ -112,10 +112,19 @@ def mix(docs: DataFrame, size=None, weights=WEIGHTS, most=MOST, seed: str = "mix
         .when(F.col("_at_fine").isNull() | (F.col("_fine") < F.col("_at_fine")), True)
         .otherwise((F.col("_fine") == F.col("_at_fine")) & F.coalesce(F.col("_key") <= F.col("_last"), F.lit(False)))
     )
-    every = docs.select(*rest, F.col("source").alias("_s"), key.alias("_key"))
+    # a row's own columns travel in a struct, where no name of theirs can meet one of these
+    every = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col("source").alias("_s"), key.alias("_key"))
     every = joined(every, cuts).withColumn("_fine", fine)
     every = every.withColumn("size", F.col("_key.n")).withColumn("copies", F.col("_whole") + more.cast("long"))
-    return every.withColumn("taken", F.col("copies") * F.col("size")).select(*rest, *own)
+    return every.withColumn("taken", F.col("copies") * F.col("size")).select("_row.*", *own)
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """The mix itself: rows of docs as often as they have copies, with docs' columns."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    narrow = docs.select("doc_id", "source", "text", row)
+    mixed = mix(narrow).where("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
