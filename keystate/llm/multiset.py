@@ -1,14 +1,17 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs (DataFrame operations only).
 
-A paragraph is a line of the text. Its SHA-256 makes it a wide vector: a dense head
-of 8 lanes of 32 bits, and a sparse body of 64 lanes of 16 bits of which one is set.
-The fingerprint of a text is the sum of its paragraphs' vectors, lane by lane, modulo
-2**32 in the head and 2**16 in the body. So the order of paragraphs has no part in it,
-adding or removing a paragraph adds or subtracts its vector, and equal texts have
-equal fingerprints. The head decides equality; body lanes that two texts share
-estimate how much of their paragraphs they share.
-
-As text, a fingerprint is 8 * 8 and 64 * 4 lowercase hex digits.
+A paragraph is a line of the text. It is hashed to a wide vector: a dense head of 8
+lanes of 32 bits from its SHA-256 and a lane that counts its sentences, and a sparse
+body in which each of its sentences sets one lane of 16 bits. The fingerprint of a text
+is the sum of its paragraphs' vectors, lane by lane, modulo 2**32 in the head and 2**16
+in the body. So the order of paragraphs has no part in it, adding or removing a
+paragraph adds or subtracts its vector, and equal texts have equal fingerprints.
+
+The head decides equality. The body estimates what two texts share: it has four strata
+of 64 lanes, a sentence goes to the first, second, ... with probability 3/4, 3/16, ... by
+its hash, and strata that the longer text would crowd are left out of the estimate.
+
+As text, a fingerprint is 9 * 8 and 256 * 4 lowercase hex digits.
 """
 
 from __future__ import annotations
@@ -18,7 +21,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-HEAD, BODY = 8, 64
+HEAD, STRATA, LANES = 9, 4, 64
+BODY = STRATA * LANES
+#: A stratum counts where the longer text has at most so many sentences in it and the further ones.
+CROWD = 40
 #: Rows of a slice in which each document meets the next one.
 SLICE_ROWS = 4096
 
@@ -29,19 +35,25 @@ def _number(hex_digits: Column) -> Column:
 
 def vector(text: Column) -> Column:
     """array<bigint> of HEAD + BODY lanes: the sum of the paragraphs' vectors."""
-    hashes = F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 256))
+    paragraphs = F.split(text, "\n", -1)
+    hashes = F.transform(paragraphs, lambda p: F.sha2(p, 256))
+    sentences = F.transform(F.flatten(F.transform(paragraphs, lambda p: F.split(p, "\\. ", -1))), lambda x: F.sha2(x, 256))
 
     def summed(i: int) -> Column:
         return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + _number(F.substring(h, 1 + 8 * i, 8)))
 
-    head = [summed(i) for i in range(HEAD)]
-    # the lane from the first two digits, its value from the last four
-    lane = lambda h: (_number(F.substring(h, 1, 2)) % BODY).cast("int")
-    value = lambda h: _number(F.substring(h, 61, 4))
-    pairs = F.transform(hashes, lambda h: F.struct(lane(h).alias("lane"), value(h).alias("value")))
-    zero = F.array_repeat(F.lit(0).cast("long"), BODY)
-    add = lambda a, p: F.transform(a, lambda v, i: F.when(i == p["lane"], v + p["value"]).otherwise(v))
-    body = F.aggregate(pairs, zero, add)
+    head = [*[summed(i) for i in range(HEAD - 1)], F.size(sentences).cast("long")]
+
+    def item(h: Column) -> Column:
+        """The sentence's lane (from its hash's first four digits the stratum, from the next two the lane) and value."""
+        depth = _number(F.substring(h, 1, 4))
+        stratum = F.when(depth >= 2**14, 0).when(depth >= 2**12, 1).when(depth >= 2**10, 2).otherwise(3)
+        return F.struct((stratum * LANES + _number(F.substring(h, 5, 2)) % LANES).cast("int").alias("lane"), _number(F.substring(h, 61, 4)).alias("value"))
+
+    def add(a: Column, p: Column) -> Column:
+        return F.concat(F.slice(a, 1, p["lane"]), F.array(F.element_at(a, p["lane"] + 1) + p["value"]), F.slice(a, p["lane"] + 2, F.lit(BODY)))
+
+    body = F.aggregate(F.transform(sentences, item), F.array_repeat(F.lit(0).cast("long"), BODY), add)
     return F.concat(F.array(*[F.pmod(x, F.lit(2**32)) for x in head]), F.transform(body, lambda v: F.pmod(v, F.lit(2**16))))
 
 
@@ -57,8 +69,11 @@ def combined(a: Column, b: Column, sign: int = 1) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: 1 for equal vectors, else equal body lanes over those set in either."""
-    lanes = F.zip_with(F.slice(a, HEAD + 1, BODY), F.slice(b, HEAD + 1, BODY), lambda x, y: F.when((x == 0) & (y == 0), 0).when(x == y, 1).otherwise(-1))
+    """0 to 1: 1 for equal vectors, else equal body lanes over those set in either, of the strata that count."""
+    most = F.greatest(F.element_at(a, HEAD), F.element_at(b, HEAD))
+    first = F.when(most <= CROWD, 0).when(most <= 4 * CROWD, 1).when(most <= 16 * CROWD, 2).otherwise(3)
+    start, n = (HEAD + 1 + first * LANES).cast("int"), F.lit(BODY)
+    lanes = F.zip_with(F.slice(a, start, n), F.slice(b, start, n), lambda x, y: F.when((x == 0) & (y == 0), 0).when(x == y, 1).otherwise(-1))
     same = F.size(F.filter(lanes, lambda v: v == 1))
     used = F.size(F.filter(lanes, lambda v: v != 0))
     return F.when(a == b, F.lit(1.0)).when(used == 0, F.lit(0.0)).otherwise(same.cast("double") / used)
@@ -127,13 +142,29 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(common.documents(spark, sf_dir))
 
 
-_LANES = """list_concat(
-    list_transform(range(8), lambda i: list_sum(list_transform(h, lambda x: ('0x' || substr(x, (1 + 8 * i)::BIGINT, 8))::BIGINT))::BIGINT % 4294967296),
-    list_transform(range(64), lambda i: coalesce(list_sum(list_transform(list_filter(h, lambda x: ('0x' || substr(x, 1, 2))::BIGINT % 64 = i), lambda x: ('0x' || substr(x, 61, 4))::BIGINT))::BIGINT, 0) % 65536))"""
-_TEXT = "array_to_string(list_transform({0}, lambda v, i: CASE WHEN i <= 8 THEN printf('%08x', v) ELSE printf('%04x', v) END), '')"
-_LIKE = """CASE WHEN {0} = {1} THEN 1.0::DOUBLE ELSE coalesce(
-    len(list_filter(list_zip({0}[9:], {1}[9:]), lambda z: z[1] = z[2] AND z[1] <> 0))::DOUBLE
-    / nullif(len(list_filter(list_zip({0}[9:], {1}[9:]), lambda z: z[1] <> 0 OR z[2] <> 0)), 0), 0.0) END"""
+# In SQL: h a text's paragraph hashes, m its sentence hashes.
+_DEPTH = "('0x' || substr(x, 1, 4))::BIGINT"
+_LANE = f"(CASE WHEN {_DEPTH} >= 16384 THEN 0 WHEN {_DEPTH} >= 4096 THEN 1 WHEN {_DEPTH} >= 1024 THEN 2 ELSE 3 END) * 64 + ('0x' || substr(x, 5, 2))::BIGINT % 64"
+_LANES = f"""list_concat(
+    list_transform(range(8), lambda i: list_sum(list_transform(h, lambda x: ('0x' || substr(x, (1 + 8 * i)::BIGINT, 8))::BIGINT))::BIGINT % 4294967296), [len(m)],
+    list_transform(range(256), lambda i: coalesce(list_sum(list_transform(list_filter(m, lambda x: {_LANE} = i), lambda x: ('0x' || substr(x, 61, 4))::BIGINT))::BIGINT, 0) % 65536))"""
+_TEXT = "array_to_string(list_transform({0}, lambda v, i: CASE WHEN i <= 9 THEN printf('%08x', v) ELSE printf('%04x', v) END), '')"
+_FROM = "(10 + 64 * CASE WHEN greatest({0}[9], {1}[9]) <= 40 THEN 0 WHEN greatest({0}[9], {1}[9]) <= 160 THEN 1 WHEN greatest({0}[9], {1}[9]) <= 640 THEN 2 ELSE 3 END)"
+_ZIP = f"list_zip(list_slice({{0}}, {_FROM}, 265), list_slice({{1}}, {_FROM}, 265))"
+_LIKE = f"""CASE WHEN {{0}} = {{1}} THEN 1.0::DOUBLE ELSE coalesce(
+    len(list_filter({_ZIP}, lambda z: z[1] = z[2] AND z[1] <> 0))::DOUBLE
+    / nullif(len(list_filter({_ZIP}, lambda z: z[1] <> 0 OR z[2] <> 0)), 0), 0.0) END"""
+
+
+def _hashes(of: str, name: str) -> str:
+    lines = f"string_split({of}, chr(10))"
+    return f"list_transform({lines}, lambda x: sha256(x)) AS h{name}, list_transform(flatten(list_transform({lines}, lambda x: string_split(x, '. '))), lambda x: sha256(x)) AS m{name}"
+
+
+def _lanes(name: str) -> str:
+    return _LANES.replace("(h,", f"(h{name},").replace("(m,", f"(m{name},").replace("len(m)", f"len(m{name})")
+
+
 SQL = f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS n FROM documents
@@ -143,11 +174,9 @@ WITH d AS (
 ), e AS (
   SELECT doc_id, n, t, nx, substr(t, 1, n - n // 4) || substr(nx, 1, n // 4) AS e FROM p
 ), hs AS (
-  SELECT doc_id, n, sha256(e) AS es, list_transform(string_split(t, chr(10)), lambda x: sha256(x)) AS ht,
-         list_transform(string_split(e, chr(10)), lambda x: sha256(x)) AS he, list_transform(string_split(nx, chr(10)), lambda x: sha256(x)) AS hn
-  FROM e
+  SELECT doc_id, n, sha256(e) AS es, {_hashes("t", "t")}, {_hashes("e", "e")}, {_hashes("nx", "n")} FROM e
 ), v AS (
-  SELECT doc_id, n, es, {_LANES.replace("(h,", "(ht,")} AS a, {_LANES.replace("(h,", "(he,")} AS b, {_LANES.replace("(h,", "(hn,")} AS c FROM hs
+  SELECT doc_id, n, es, {_lanes("t")} AS a, {_lanes("e")} AS b, {_lanes("n")} AS c FROM hs
 )
 SELECT doc_id, n::BIGINT AS n_chars, es AS edited_sha256, {_TEXT.format("a")} AS fingerprint, {_TEXT.format("b")} AS edited_fingerprint,
        {_LIKE.format("a", "b")} AS near_edited, {_LIKE.format("a", "c")} AS near_next

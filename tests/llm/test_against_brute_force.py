@@ -261,13 +261,18 @@ def test_covering_sets_serve_any_five_positions():
 
 def test_multiset_hash(spark, texts):
     def vector(t):
-        v = [0] * 72
+        v = [0] * 265
         for p in t.split("\n"):
             h = hashlib.sha256(p.encode()).hexdigest()
             for i in range(8):
                 v[i] = (v[i] + int(h[8 * i : 8 * i + 8], 16)) % 2**32
-            lane = 8 + int(h[:2], 16) % 64
-            v[lane] = (v[lane] + int(h[60:], 16)) % 2**16
+            for x in p.split(". "):
+                h = hashlib.sha256(x.encode()).hexdigest()
+                depth = int(h[:4], 16)
+                stratum = 0 if depth >= 2**14 else 1 if depth >= 2**12 else 2 if depth >= 2**10 else 3
+                lane = 9 + 64 * stratum + int(h[4:6], 16) % 64
+                v[lane] = (v[lane] + int(h[60:], 16)) % 2**16
+                v[8] += 1
         return v
 
     from pyspark.sql import functions as F
