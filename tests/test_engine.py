@@ -81,3 +81,22 @@ def test_stream_is_ingested_once(spark, store, tmp_path):
         stream.ingest(feed, store, "feed", str(tmp_path / "checkpoint")).awaitTermination()
     assert {bytes(r["key"]): bytes(r["value"]) for r in store.state().collect()} == {f"k{i}".encode(): f"{90 + i}".encode() for i in range(10)}
     assert store.write(changes, "feed", 0) is False
+
+
+def test_commands(store):
+    from keystate.__main__ import run
+
+    assert run(store, "batch-put", ["a=1", "b=x=y"]) == ["OK"]
+    assert run(store, "get", ["b"]) == ["x=y"] and run(store, "get", ["zz"]) == ["(not found)"]
+    run(store, "del", ["a"])
+    assert run(store, "batch-get", ["b", "a"]) == ["b\tx=y", "a\t(not found)"]
+    assert run(store, "scan", []) == ["b\tx=y"]
+
+
+def test_config():
+    from keystate.config import Config
+
+    assert Config().validated().l0_trigger == 4
+    for bad in ({"folder": ""}, {"virtual_nodes": 0}, {"level_factor": 1}, {"log_level": "LOUD"}):
+        with pytest.raises(ValueError):
+            Config(**bad).validated()
