@@ -33,6 +33,8 @@ FLOOR = 16
 LOW_BITS = 30
 LOW, MASK = 1 << LOW_BITS, (1 << LOW_BITS) - 1
 SLOTS = 1 << 18
+#: The confidence that follows one of 0 to 4, after a wrong and a right prediction; 0 takes the new id.
+THEN = np.array([0, 0, 0, 2, 1, 3, 2, 4, 3, 4])
 
 
 class DamagedBlock(ValueError):
@@ -44,8 +46,8 @@ class _Mixer:
 
     def __init__(self, alphabet: int, lanes: int):
         self.alphabet = alphabet
-        self.seen, self.total, self.built = np.zeros(alphabet, np.int64), 0, -1
-        self.one, self.two = np.zeros(alphabet, np.int64), np.zeros(SLOTS, np.int64)  # (id + 1) * 8 + confidence
+        self.seen, self.total = np.zeros(alphabet, np.int64), 0
+        self.one, self.two = np.full(alphabet, -8, np.int64), np.full(SLOTS, -8, np.int64)  # id * 8 + confidence; id -1 with 0 at first
         self.hits = np.tile(np.array([0.4, 0.4, 0.8]), (25, 1))
         self.before, self.earlier = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.waiting: list[np.ndarray] = []
@@ -53,35 +55,37 @@ class _Mixer:
         self.rebuild()
 
     def rebuild(self) -> None:
-        for ids in self.waiting:
-            self.seen += np.bincount(ids, minlength=self.alphabet)
-            self.total += len(ids)
+        if self.waiting:
+            self.seen += np.bincount(np.concatenate(self.waiting), minlength=self.alphabet)
+            self.total += self.late
         self.waiting, self.late = [], 0
         spare = TOTAL - FLOOR * self.alphabet
         share = (self.seen * spare) // self.total if self.total else np.full(self.alphabet, spare // self.alphabet)
         self.cum = np.zeros(self.alphabet + 1, np.int64)
         np.cumsum(share + FLOOR, out=self.cum[1:])
         self.cum[-1] = TOTAL
+        self.upper = self.cum[1:]
 
     def predict(self) -> None:
         self.slot = (h := self.before * 0x9E3779B1 + self.earlier * 0x85EBCA6B) ^ (h >> 15)
         self.slot &= SLOTS - 1
-        self.v1, self.v2 = self.one[self.before], self.two[self.slot]
-        self.id1, self.id2 = (self.v1 >> 3) - 1, (self.v2 >> 3) - 1
-        self.pair = (self.v2 & 7) * 5 + (self.v1 & 7)
-        share = (self.hits[:, :2] / self.hits.sum(1, keepdims=True) * (TOTAL - LEAST)).astype(np.int64) + 1
-        share[:5, 1 - 1] = 0  # nothing named by order 2
-        share[::5, 1] = 0  # nothing named by order 1
-        self.named2 = share[self.pair, 0]
-        self.named = self.named2 + share[self.pair, 1] * (self.id1 != self.id2)
+        self.v1, self.v2 = self.one.take(self.before), self.two.take(self.slot)
+        self.id1, self.id2 = self.v1 >> 3, self.v2 >> 3
+        self.sure1, self.sure2 = self.v1 & 7, self.v2 & 7
+        self.pair = self.sure2 * 5 + self.sure1
+        share = (self.hits[:, :2].T / self.hits.sum(1) * (TOTAL - LEAST)).astype(np.int64) + 1
+        share[0, :5] = 0  # nothing named by order 2
+        share[1, ::5] = 0  # nothing named by order 1
+        self.named2 = share[0].take(self.pair)
+        self.named = self.named2 + share[1].take(self.pair) * (self.id1 != self.id2)
         self.rest = TOTAL - self.named
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of each lane's id in TOTAL."""
-        self.hit2 = ids == self.id2
-        self.hit1 = (ids == self.id1) & ~self.hit2
-        start = self.named + ((self.cum[ids] * self.rest) >> BITS)
-        end = self.named + ((self.cum[ids + 1] * self.rest) >> BITS)
+        self.hit2, self.right1 = ids == self.id2, ids == self.id1
+        self.hit1 = self.right1 & ~self.hit2
+        start = self.named + ((self.cum.take(ids) * self.rest) >> BITS)
+        end = self.named + ((self.upper.take(ids) * self.rest) >> BITS)
         start = np.where(self.hit1, self.named2, start)
         end = np.where(self.hit1, self.named, end)
         start[self.hit2] = 0
@@ -98,12 +102,10 @@ class _Mixer:
     def update(self, ids: np.ndarray) -> None:
         kind = np.where(self.hit2, 0, 2 - self.hit1)
         self.hits += np.bincount(self.pair * 3 + kind, minlength=75).reshape(25, 3)
-        for table, at, v, named in ((self.one, self.before, self.v1, self.id1), (self.two, self.slot, self.v2, self.id2)):
-            sure = v & 7
-            right = named == ids
-            kept = right | (sure > 1)
-            new = np.where(kept, (named + 1) * 8 + np.where(right, np.minimum(sure + 1, 4), sure - 1), (ids + 1) * 8 + 1)
-            table[at] = new
+        anew = ids * 8 + 1
+        for table, at, v, sure, right in ((self.one, self.before, self.v1, self.sure1, self.right1), (self.two, self.slot, self.v2, self.sure2, self.hit2)):
+            then = THEN.take(sure * 2 + right)
+            table[at] = np.where(then > 0, v - sure + then, anew)
         self.earlier, self.before = self.before, ids
         self.waiting.append(ids)
         self.late += len(ids)
@@ -145,7 +147,7 @@ def _decoded(counts: np.ndarray, words: np.ndarray, lanes: int, steps: int, alph
     at = ends - counts
 
     def read() -> np.ndarray:
-        return np.where(at < ends, words[np.minimum(at, len(words) - 1)], 0)
+        return np.where(at < ends, words.take(np.minimum(at, len(words) - 1)), 0)
 
     first = read()
     at += 1

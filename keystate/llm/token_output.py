@@ -28,25 +28,29 @@ BLOCKS = "part int, first long, n_ids long, data binary"
 def _encode(vocabulary: str, end: int, block_ids: int):
     def run(batches):
         cache = tokens.pieces(tokens.WordPieces, vocabulary)
-        part, tail = TaskContext.get().partitionId(), np.array([end], "<u4").tobytes()
+        part = TaskContext.get().partitionId()
         held, doc_ids, lengths, first, n = [], [], [], 0, 0
 
         def block():
-            data = range_coder.encode_block(doc_ids, lengths, np.frombuffer(b"".join(held), "<u4"))
+            data = range_coder.encode_block(doc_ids, lengths, np.concatenate(held))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first]), pa.array([n]), pa.array([data], pa.binary())], names=["part", "first", "n_ids", "data"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, tokens.GROUP):
-                rows = batch.slice(at, tokens.GROUP)
-                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), cache.ids([t or "" for t in rows.column("text").to_pylist()]), strict=True):
-                    held.append(ids + tail)
+            for rows in tokens.portions(batch):
+                ids, sizes = cache.column(rows.column("text"))
+                ends = np.cumsum(sizes)
+                ids, ends = np.insert(ids, ends, end), ends + np.arange(1, len(ends) + 1)
+                since = 0
+                for i, doc_id in enumerate(rows.column("doc_id").to_pylist()):
                     doc_ids.append(doc_id)
-                    lengths.append(len(ids) // 4 + 1)
+                    lengths.append(int(sizes[i]) + 1)
                     n += lengths[-1]
                     if n >= block_ids:
+                        held.append(ids[since : ends[i]])
                         yield block()
-                        first += n
+                        first, since = first + n, int(ends[i])
                         held, doc_ids, lengths, n = [], [], [], 0
+                held.append(ids[since:])
         if doc_ids:
             yield block()
 

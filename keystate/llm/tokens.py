@@ -13,17 +13,20 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that a worker's cache holds at most: some 200 bytes each. Texts of other pieces cost more time, nothing else.
-CACHE = 600_000
+CACHE = 900_000
 #: Pieces of at most so many characters are kept.
 LONGEST = 48
-#: Texts whose pieces are looked up together.
-GROUP = 200
+#: Texts whose pieces are looked up together, and bytes of texts that are cut at once by columns.
+GROUP, AT_ONCE = 200, 24 << 20
 
 
 def _bytes_as_characters() -> dict[int, int]:
@@ -59,9 +62,10 @@ class Pieces:
     def encode(self, pieces: list[str]) -> list[bytes]:
         """Of pieces by the library; of a plain run by the library's merges alone, as no other step changes it."""
         run, merge = self.run.fullmatch, self.tokenizer.model.tokenize
-        runs = {p: np.array([t.id for t in merge(p.encode().decode("latin-1").translate(BYTES))], "<u4").tobytes() for p in pieces if run(p)}
-        others = [p for p in pieces if p not in runs]
-        runs.update(zip(others, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(others, add_special_tokens=False)), strict=True))
+        runs = {p: array("I", [t.id for t in merge(p if p.isascii() and p[:1] != " " else p.encode().decode("latin-1").translate(BYTES))]).tobytes() for p in pieces if run(p)}
+        if len(runs) < len(pieces):
+            others = [p for p in pieces if p not in runs]
+            runs.update(zip(others, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(others, add_special_tokens=False)), strict=True))
         return [runs[p] for p in pieces]
 
     def cut(self, text: str) -> list[str]:
@@ -73,7 +77,8 @@ class Pieces:
 
     def add(self, pieces: set[str]) -> list[str]:
         """Make pieces known; returns those to be forgotten after use, as the cache is full."""
-        split = {p: q for p in pieces if (q := self.parts(p))}
+        run = self.run.fullmatch
+        split = {p: q for p in pieces if not run(p) and (q := self.parts(p))}
         rest = [p for p in pieces if p not in split]
         rest += {q for parts in split.values() for q in parts}.difference(self.known, rest)
         room, known = self.most - len(self.known), self.known
@@ -94,6 +99,16 @@ class Pieces:
         return out
 
 
+def portions(batch: pa.RecordBatch, text: str = "text", most: int = AT_ONCE):
+    """The batch in slices of about so many bytes of text."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size, dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 class WordPieces(Pieces):
     """For the word-end vocabulary. It makes each white space one blank and drops it, and
     neither its merges nor composition of characters cross it, so blanks and line ends
@@ -105,9 +120,39 @@ class WordPieces(Pieces):
     runs = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-z0-9À-ÖØ-öø-ÿ]+")
     run = re.compile(r"[a-zß-öø-ÿ]+")
 
+    #: A mark behind a plain letter starts a run of marks, so a blank before it changes nothing.
+    marks = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?])"
+
     def cut(self, text: str) -> list[str]:
         return text.replace("\n", " ").split(" ")
 
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has: ``ids`` by columns.
+
+        Capitals A to Z may be made small first, as composition and lower case go together;
+        only a special string must not come about that way.
+        """
+        texts = pc.fill_null(texts, "")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, self.marks, r"\1 \2"))
+        words = lists.flatten().dictionary_encode()
+        each, at = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+        spare = self.add(missing) if (missing := set(each).difference(self.known)) else []
+        coded = [self.known[w] for w in each]
+        for w in spare:
+            del self.known[w]
+        flat = np.frombuffer(b"".join(coded), "<u4")
+        n = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        starts = np.cumsum(n) - n
+        of_word = n[at]
+        ends = np.cumsum(of_word)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if max(total, len(flat)) < 1 << 30 else np.int64
+        ids = flat[np.arange(total, dtype=kind) + np.repeat((starts[at] - ends + of_word).astype(kind), of_word)]
+        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return ids, np.diff(bounds)
+
     def parts(self, piece: str) -> list[str] | None:
         if not self.plain.fullmatch(piece) or "<|" in piece:
             return None
