@@ -95,14 +95,15 @@ def _lowered(text: str) -> bytes:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from labelled rows: ``sample`` documents at most, as many for each language,
-    those of the smallest hashes of their ids. Rows without text or language have no part."""
+    those of the smallest hashes of their ids (found by a threshold; the limit holds where
+    one id repeats without end). Rows without text or language have no part."""
     labelled = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)))
     found = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not found:
         return fit([], [])
     each = max(1, sample // len(found))
     limits = F.create_map(*[F.lit(x) for lang, n in sorted(found.items()) for x in (lang, int((1 << 20) * min(1.0, 1.5 * (each + 20) / n)) + 1)])
-    rows = labelled.where(F.col("h") < limits[F.col("lang")]).select("lang", "h", "doc_id", "text").toPandas()
+    rows = labelled.where(F.col("h") < limits[F.col("lang")]).select("lang", "h", "doc_id", "text").limit(4 * sample).toPandas()
     rows = rows.sort_values(["h", "doc_id", "text"]).groupby("lang", sort=True).head(each)
     texts, labels = [], []
     for lang, text in zip(rows["lang"], rows["text"], strict=True):
