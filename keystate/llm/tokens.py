@@ -26,7 +26,7 @@ CACHE = 900_000
 #: Pieces of at most so many characters are kept.
 LONGEST = 48
 #: Texts whose pieces are looked up together, and bytes of texts that are cut at once by columns.
-GROUP, AT_ONCE = 200, 24 << 20
+GROUP, AT_ONCE = 200, 16 << 20
 
 
 def _bytes_as_characters() -> dict[int, int]:
