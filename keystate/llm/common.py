@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _shipped: set[str] = set()
+_made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,7 +29,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/keystate-{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/keystate-{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process, once no result that reads them is needed; how many."""
+    n = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

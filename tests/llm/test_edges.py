@@ -88,3 +88,13 @@ def test_single_row(spark):
     assert mixing.mix(one).first()["taken"] == 3
     assert packing.pack(one).count() == 1
     assert simhash.near_duplicates(one).select(F.col("component_id")).first()[0] == 5
+
+
+def test_intermediate_tables_can_be_discarded(spark, messy):
+    from keystate.llm import common
+
+    kept = common.stored(messy.select("doc_id"), "test")
+    assert kept.count() == messy.count()
+    common.discard(spark)
+    again = common.stored(messy.select("doc_id"), "test")
+    assert common.discard(spark) == 1 and again.columns == ["doc_id"]
