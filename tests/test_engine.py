@@ -100,3 +100,12 @@ def test_config():
     for bad in ({"folder": ""}, {"virtual_nodes": 0}, {"level_factor": 1}, {"log_level": "LOUD"}):
         with pytest.raises(ValueError):
             Config(**bad).validated()
+
+
+def test_key_ranges_reach_the_scan(store):
+    store.batch_put([(f"k{i:03d}".encode(), b"v") for i in range(50)])
+    store.flush()
+    plan = store.scan(b"k010", b"k020")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(key" in plan and "LessThan(key" in plan
+    # a run outside the asked keys is not opened at all
+    assert store.versions(b"x", b"z").inputFiles() == []
