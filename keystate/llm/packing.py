@@ -134,7 +134,8 @@ def pack(docs: DataFrame, most: int = LENGTH, vocabulary: str = VOCABULARY, end:
     sent = spark.sparkContext.broadcast((base, table))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = pieces.join(offsets, ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # a row for each size of each task: never broadcast, as tasks grow with the input
+    ranked = pieces.join(offsets.hint("merge"), ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
     kept = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
 
     def assign(batches):
