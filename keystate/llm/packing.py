@@ -4,8 +4,9 @@ Documents and gaps are kept sorted by size. A sweep from large to small sends ea
 document to its successor, the smallest gap that holds it; where several want one gap
 the first by rank gets it and the others go on to the next. Then the gaps are updated
 and the sweep is repeated: with the longest documents (those within a 32nd of the
-longest left) until they are placed, then with the next longest. Documents that no gap
-holds open sequences: as many of the longest as all of them together need at least.
+longest left) until they are placed, then with the next longest. Once a sweep places
+none, the documents left open sequences: as many of the longest as all of them together
+need at least.
 
 Sizes are whole numbers up to the sequence length, and documents of one size differ
 only in rank. So both sorted lists are held run-length coded: a run is a size and a
@@ -100,13 +101,14 @@ def matched_runs(counts: np.ndarray, most: int) -> tuple[list[tuple[int, int, in
                     place(size, first, n, gap, new)
                     if not gaps[gap]:
                         stack.pop()
-            total = sum(size * left[size] for size in range(floor + 1, top + 1))
-            opening = max(-(-total // most), sum(left[max(floor, most // 2) + 1 : top + 1]))
-            for size in range(top, floor, -1):
-                if n := min(opening, left[size]):
-                    place(size, opened, n, most, new)
-                    opened += n
-                    opening -= n
+            if not new:  # no gap is left for any of them
+                total = sum(size * left[size] for size in range(floor + 1, top + 1))
+                opening = max(-(-total // most), sum(left[max(floor, most // 2) + 1 : top + 1]))
+                for size in range(top, floor, -1):
+                    if n := min(opening, left[size]):
+                        place(size, opened, n, most, new)
+                        opened += n
+                        opening -= n
             for gap, first, n in new:
                 if gap:
                     gaps[gap].append((first, n))
