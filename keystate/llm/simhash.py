@@ -12,7 +12,7 @@ fourteen are enough). A list then holds fingerprints that agree in 32 bits.
 
 Equal fingerprints meet first, so lists are of different fingerprints, and a list
 yields a spanning forest of its links, never all its pairs. A list longer than
-``LONG`` is intersected with each fifth position, which a pair must share as well.
+``LONG`` is split by four groups of the bits in which it varies; a pair agrees in one.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from .components import components
 
 SEED, SHINGLE, BITS = 42, 3, 3
 LEAST_SHARED = 8 - BITS
-#: Fingerprints of a list that are compared as they are; longer lists are split by a fifth byte.
+#: Fingerprints of a list that are compared as they are; longer lists are split further.
 LONG = 20_000
 
 
@@ -156,13 +156,27 @@ def _link_batches(batches):
 
 
 def _by_fifth(fp: np.ndarray):
-    """A long list's parts that agree in a further byte; positions that all share are passed over."""
-    octets = fp.view(np.uint8).reshape(-1, 8)
-    for i in range(8):
-        order = np.argsort(octets[:, i], kind="stable")
-        cuts = np.flatnonzero(np.diff(octets[order, i])) + 1
-        if len(cuts):
-            yield from np.split(fp[order], cuts)
+    """A long list's parts such that each link lies in one of them.
+
+    The bits in which the list varies are dealt into four groups. A link differs in up
+    to three bits, so it agrees in all of at least one group, whichever bytes the whole
+    list has in common. The most even bits are dealt first, so that each group cuts. A
+    part that is still long is split again, unless it is most of its list.
+    """
+    ones = [np.count_nonzero(fp >> np.uint64(b) & np.uint64(1)) for b in range(64)]
+    even = [min(n, len(fp) - n) for n in ones]
+    varying = sorted((b for b in range(64) if even[b]), key=lambda b: -even[b])
+    if len(varying) <= BITS:  # all are linked
+        yield fp
+        return
+    for i in range(BITS + 1):
+        key = fp & np.uint64(sum(1 << b for b in varying[i :: BITS + 1]))
+        order = np.argsort(key, kind="stable")
+        for part in np.split(fp[order], np.flatnonzero(np.diff(key[order])) + 1):
+            if LONG < len(part) <= len(fp) // 2:
+                yield from _by_fifth(part)
+            else:
+                yield part
 
 
 def _links(edges: np.ndarray, fp: np.ndarray):
