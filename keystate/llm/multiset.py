@@ -10,6 +10,9 @@ paragraph adds or subtracts its vector, and equal texts have equal fingerprints.
 The head decides equality. The body estimates what two texts share: it has four strata
 of 64 lanes, a sentence goes to the first, second, ... with probability 3/4, 3/16, ... by
 its hash, and strata that the longer text would crowd are left out of the estimate.
+Texts that would crowd the fourth are compared by further strata that divide it
+(``deeper``), so many that no text can crowd the last. They are no part of the
+fingerprint as text, and are worked out only for pairs with such a text.
 
 As text, a fingerprint is 9 * 8 and 256 * 4 lowercase hex digits.
 """
@@ -23,6 +26,8 @@ from . import common
 
 HEAD, STRATA, LANES = 9, 4, 64
 BODY = STRATA * LANES
+#: Strata that divide the last one: a string of 2**31 bytes leaves some 8 sentences to the last of them.
+DEEPER = 11
 #: A stratum counts where the longer text has at most so many sentences in it and the further ones.
 CROWD = 40
 #: Rows of a slice in which each document meets the next one.
@@ -73,10 +78,61 @@ def likeness(a: Column, b: Column) -> Column:
     most = F.greatest(F.element_at(a, HEAD), F.element_at(b, HEAD))
     first = F.when(most <= CROWD, 0).when(most <= 4 * CROWD, 1).when(most <= 16 * CROWD, 2).otherwise(3)
     start, n = (HEAD + 1 + first * LANES).cast("int"), F.lit(BODY)
-    lanes = F.zip_with(F.slice(a, start, n), F.slice(b, start, n), lambda x, y: F.when((x == 0) & (y == 0), 0).when(x == y, 1).otherwise(-1))
+    return F.when(a == b, F.lit(1.0)).otherwise(_alike(F.slice(a, start, n), F.slice(b, start, n)))
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """Equal lanes over those set in either; 0 if none is."""
+    lanes = F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), 0).when(x == y, 1).otherwise(-1))
     same = F.size(F.filter(lanes, lambda v: v == 1))
     used = F.size(F.filter(lanes, lambda v: v != 0))
-    return F.when(a == b, F.lit(1.0)).when(used == 0, F.lit(0.0)).otherwise(same.cast("double") / used)
+    return F.when(used == 0, F.lit(0.0)).otherwise(same.cast("double") / used)
+
+
+def crowds(v: Column) -> Column:
+    """A text of this vector crowds the last stratum of the body."""
+    return F.element_at(v, HEAD) > CROWD * 4 ** (STRATA - 1)
+
+
+def deeper(text: Column) -> Column:
+    """array<bigint> of DEEPER * LANES: the sentences past the first 3/4 of the last stratum, in strata of 3/4, 3/16, ... of them."""
+    hashes = F.transform(F.flatten(F.transform(F.split(text, "\n", -1), lambda p: F.split(p, "\\. ", -1))), lambda x: F.sha2(x, 256))
+    # of the last stratum, by digits 1 to 4, and not of the 3/4 of it that come first, by digit 7
+    past = F.filter(hashes, lambda h: (h < "04") & (F.substring(h, 7, 1) < "4"))
+
+    def item(h: Column) -> Column:
+        depth = _number(F.substring(h, 7, 12))
+        stratum = F.when(depth >= 2**44, 0)
+        for i in range(1, DEEPER - 1):
+            stratum = stratum.when(depth >= 2 ** (44 - 2 * i), i)
+        lane = stratum.otherwise(DEEPER - 1) * LANES + _number(F.substring(h, 5, 2)) % LANES
+        return F.struct(lane.cast("int").alias("lane"), _number(F.substring(h, 61, 4)).alias("value"))
+
+    def add(a: Column, p: Column) -> Column:
+        return F.concat(F.slice(a, 1, p["lane"]), F.array(F.element_at(a, p["lane"] + 1) + p["value"]), F.slice(a, p["lane"] + 2, F.lit(DEEPER * LANES)))
+
+    body = F.aggregate(F.transform(past, item), F.array_repeat(F.lit(0).cast("long"), DEEPER * LANES), add)
+    return F.transform(body, lambda v: F.pmod(v, F.lit(2**16)))
+
+
+def likeness_of_long(a: Column, b: Column, deep_a: Column, deep_b: Column) -> Column:
+    """likeness where either text crowds the body, by the first strata in which neither sets over CROWD lanes.
+
+    Lanes that are set count sentences that differ, so texts that repeat a few lines
+    are compared by strata that hold some of them.
+    """
+
+    def parts(k: int) -> list[Column]:
+        if k < STRATA:
+            return [F.slice(v, HEAD + 1 + k * LANES, BODY) for v in (a, b)]
+        return [F.slice(v, 1 + (k - STRATA) * LANES, DEEPER * LANES) for v in (deep_a, deep_b)]
+
+    def few(v: Column) -> Column:
+        return F.size(F.filter(v, lambda x: x != 0)) <= CROWD
+
+    last = STRATA + DEEPER - 1
+    chosen = [F.when(few(x) & few(y), _alike(x, y)) for x, y in map(parts, range(last))]
+    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(*chosen, _alike(*parts(last))))
 
 
 def with_next(docs: DataFrame, rows: int = SLICE_ROWS) -> DataFrame:
@@ -134,8 +190,15 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     repeat give a row each; other columns are not used.
     """
     pairs = with_next(docs).withColumn("edit", edited(F.col("text"), F.col("next")))
-    pairs = pairs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"), vector(F.col("text")).alias("a"), vector(F.col("edit")).alias("b"), vector(F.col("next")).alias("c"))
-    return pairs.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
+    pairs = pairs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"), vector(F.col("text")).alias("a"), vector(F.col("edit")).alias("b"), vector(F.col("next")).alias("c"), "text", "edit", "next")
+    long_ab, long_ac = (crowds(F.col("a")) | crowds(F.col(x)) for x in "bc")
+    pairs = pairs.select("doc_id", "n_chars", "edited_sha256", "a", "b", "c", *[F.when(c, deeper(F.col(t))).alias(f"deep_{x}") for x, t, c in (("a", "text", long_ab | long_ac), ("b", "edit", long_ab), ("c", "next", long_ac))])
+
+    def near(other: str, is_long: Column) -> Column:
+        x, y = F.col("a"), F.col(other)
+        return F.when(is_long, likeness_of_long(x, y, F.col("deep_a"), F.col(f"deep_{other}"))).otherwise(likeness(x, y))
+
+    return pairs.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("b")).alias("edited_fingerprint"), near("b", long_ab).alias("near_edited"), near("c", long_ac).alias("near_next"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from keystate.llm import simhash
+from keystate.llm import multiset, simhash
 
 
 def _roots(nodes, pairs):
@@ -46,3 +46,25 @@ def test_long_lists_with_constant_bytes_lose_no_link():
     found = [(a, b) for batch in simhash._links(np.array([len(fps)]), fps) for a, b in zip(*(batch.column(i).to_numpy().view(np.uint64).tolist() for i in range(2)), strict=True)]
     expected = _roots(fps, _all_links(fps))
     assert len(set(expected)) < len(fps) and _roots(fps, found) == expected
+
+
+def _sentence_share(a, b):
+    a, b = ({x for p in t.split("\n") for x in p.split(". ")} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_likeness_of_long_texts_follows_their_sentence_share(spark):
+    texts = [". ".join(f"sentence {d} {i} of a long text" for i in range(n)) for d, n in enumerate((10_000, 100_000, 3_000, 12))]
+    got = {r["doc_id"]: r for r in multiset.compare_edited(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for d, t in enumerate(texts):
+        n, after = len(t), texts[(d + 1) % len(texts)]
+        edit = t[: n - n // 4] + after[: n // 4]
+        assert abs(got[d]["near_edited"] - _sentence_share(t, edit)) < 0.25
+        assert got[d]["near_next"] < 0.1
+
+
+def test_likeness_of_long_texts_of_few_lines(spark):
+    lines = [f"line {i} of a page" for i in range(30)]
+    texts = ["\n".join(lines * 100), "\n".join([*lines * 100, "one more"])]
+    got = multiset.compare_edited(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("doc_id = 0").first()
+    assert got["near_next"] > 0.8
