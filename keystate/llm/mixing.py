@@ -49,7 +49,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most=MOST) -> DataFrame:
         .withColumn("at", (F.col("total") - F.col("held")).cast("double") / (F.col("total_w") - F.col("held_w")))
         .withColumn("fits", F.col("at") * F.col("w") <= F.lit(most) * F.col("source_size"))
     )
-    level = F.max_by("at", F.when(F.col("fits"), -F.col("source_size") / F.col("w"))).over(every)
+    # of equal ratios the first decides: the later ones count it as held
+    level = F.max_by("at", F.when(F.col("fits"), F.struct(-F.col("source_size") / F.col("w"), -F.col("n")))).over(every)
     return levels.withColumn("level", level).select("source", "source_size", F.least(F.lit(float(most)) * F.col("source_size"), F.col("level") * F.col("w")).alias("target"))
 
 

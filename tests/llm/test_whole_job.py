@@ -1,8 +1,9 @@
 """Cases in which a shorter way would do less than the whole job."""
 
 import numpy as np
+import pytest
 
-from keystate.llm import multiset, simhash
+from keystate.llm import mixing, multiset, simhash
 
 
 def _roots(nodes, pairs):
@@ -68,3 +69,10 @@ def test_likeness_of_long_texts_of_few_lines(spark):
     texts = ["\n".join(lines * 100), "\n".join([*lines * 100, "one more"])]
     got = multiset.compare_edited(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("doc_id = 0").first()
     assert got["near_next"] > 0.8
+
+
+@pytest.mark.parametrize(("sizes", "expected"), [([100] * 4, [2000 / 13, 800 / 13, 400 / 13, 2000 / 13]), ([50, 20, 10] * 2, [50, 20, 10] * 2)])
+def test_targets_of_tied_sources(spark, sizes, expected):
+    df = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, source_size long")
+    got = [r["target"] for r in mixing.targets(df).orderBy("source").collect()]
+    assert sum(got) == pytest.approx(sum(sizes)) and got == pytest.approx(expected)
