@@ -5,6 +5,9 @@ import pytest
 
 from keystate.llm import mixing, multiset, simhash
 
+from .conftest import SCHEMA
+from .test_pipeline import extra_copies
+
 
 def _roots(nodes, pairs):
     parent = {int(f): int(f) for f in nodes}
@@ -76,3 +79,35 @@ def test_targets_of_tied_sources(spark, sizes, expected):
     df = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, source_size long")
     got = [r["target"] for r in mixing.targets(df).orderBy("source").collect()]
     assert sum(got) == pytest.approx(sum(sizes)) and got == pytest.approx(expected)
+
+
+def test_unequal_inclusion_with_repeated_and_null_rows(spark):
+    """Rows that repeat are ranked each by itself, in whatever tasks they are; longer documents are likelier to be in."""
+    from collections import Counter
+
+    rows = [(7, "w " * 20, "en", "a")] * 1000 + [(i, "w " * (i % 13), "en", "b") for i in range(500)] + [(None, "x y z", None, None)] * 40 + [(3, None, "en", "b")] * 3 + [(9000 + i, "q " * 5, "en", "c") for i in range(30)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert len(got) == len(rows)
+    per = {r["source"]: (r["target"], r["source_size"]) for r in got}
+    assert sum(t for t, _ in per.values()) == pytest.approx(sum(n for _, n in per.values()))
+    expected = Counter()
+    for s, (target, total) in per.items():
+        own = [(d, len(t.split()) if t else 0) for d, t, _, source in rows if source == s]
+        whole = int(target // total)
+        expected.update((d, n, n * (whole + more)) for (d, n), more in zip(own, extra_copies(own, target - whole * total), strict=True))
+        assert abs(sum(r["taken"] for r in got if r["source"] == s) - target) <= 20
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in got) == expected
+    in_more = lambda n: [r["copies"] for r in got if r["source"] == "b" and r["size"] == n]
+    assert sum(in_more(12)) / len(in_more(12)) > sum(in_more(1)) / len(in_more(1))
+
+
+def test_repeated_keeps_a_column_named_as_a_new_one(spark):
+    df = spark.createDataFrame([(i, "a b c", "s", f"kept {i}") for i in range(6)], "doc_id long, text string, source string, size string")
+    assert {r["size"] for r in mixing.repeated(df).collect()} == {f"kept {i}" for i in range(6)}
+
+
+def test_dedup_keeps_different_texts_of_one_id(spark):
+    rows = [(1, "the quick brown fox jumps over the lazy dog again", "s"), (1, "quite another text about rivers and mornings in a far town", "s"), (2, "the quick brown fox jumps over the lazy dog again", "t"), (None, "x", "s"), (None, "x", "s")]
+    df = spark.createDataFrame([*rows, rows[1]], "doc_id long, text string, source string")
+    found = [sorted(map(repr, simhash.deduplicated(df.repartition(n)).collect())) for n in (1, 3)]
+    assert found[0] == found[1] == sorted(map(repr, spark.createDataFrame([rows[0], rows[1], rows[3], rows[4]], df.schema).collect()))
