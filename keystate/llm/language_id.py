@@ -12,13 +12,10 @@ its presence matrix with those weights.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
@@ -28,14 +25,21 @@ GRAMS, LENGTHS, BATCH = 1 << 15, (1, 2, 3, 4), 32
 SAMPLE, LANDMARKS, RIDGE = 2400, 256, 1e-3
 #: Beginnings of the sample's texts that are learned besides the whole ones, in bytes: short texts are to be told as well.
 SNIPPETS = (40, 160)
+#: Texts of more bytes are not sampled, so what the driver gets is bounded.
+LONGEST_SAMPLED = 65_536
 UNDETERMINED = "und"
-#: Below this score the pipeline rejects a document.
-REJECTED = 0.2
+#: The pipeline rejects documents that score below this part of the least that any text
+#: of the sample gets for its own language.
+REJECTED = 0.9
 
-_LETTER = re.compile(r"[^\W\d_]")
 _BLANKED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """A character of Unicode's letter categories (so neither digits, nor fractions, nor superscripts)."""
+    return any(map(str.isalpha, text))
+
+
 def presence(text: bytes) -> np.ndarray:
     """The hashed n-grams of a text, with repeats."""
     b = np.frombuffer(b" " + b" ".join(text.translate(_BLANKED).split()) + b" ", np.uint8).astype(np.uint32)
@@ -57,10 +61,11 @@ def matrix(texts: list[bytes]) -> np.ndarray:
 
 
 class Model:
-    """languages, and a weight for each n-gram and language, with a constant each."""
+    """languages, and a weight for each n-gram and language, with a constant each;
+    least: the least score that a text learned from gets for its own language."""
 
-    def __init__(self, languages: list[str], weights: np.ndarray, constants: np.ndarray):
-        self.languages, self.weights, self.constants = languages, weights, constants
+    def __init__(self, languages: list[str], weights: np.ndarray, constants: np.ndarray, least: float = 0.0):
+        self.languages, self.weights, self.constants, self.least = languages, weights, constants, least
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         return matrix(texts) @ self.weights + self.constants
@@ -76,17 +81,20 @@ def fit(texts: list[bytes], labels: list[str], landmarks: int = LANDMARKS, ridge
     kept = values > 1e-6 * values.max()
     root = vectors[:, kept] / np.sqrt(values[kept])  # kernel with the landmarks -> features
     gram, cross = np.zeros((kept.sum() + 1,) * 2), np.zeros((kept.sum() + 1, len(languages)))
-    total = 0
+    total, features, own = 0, [], []
     for at in range(0, len(texts), 256):
         phi = np.hstack([(matrix(texts[at : at + 256]) @ z.T).astype(np.float64) @ root, np.ones((len(texts[at : at + 256]), 1))])
         y = (np.array(labels[at : at + 256])[:, None] == np.array(languages)[None, :]).astype(np.float64)
         gram += phi.T @ phi
         cross += phi.T @ y
         total += len(phi)
+        features.append(phi)
+        own.append(y.argmax(1))
     penalty = np.full(len(gram), ridge * total)
     penalty[-1] = 1e-9
     w = np.linalg.solve(gram + np.diag(penalty), cross)
-    return Model(languages, (z.T @ (root @ w[:-1])).astype(np.float32), w[-1].astype(np.float32))
+    least = min(float((phi @ w)[np.arange(len(o)), o].min()) for phi, o in zip(features, own, strict=True))
+    return Model(languages, (z.T @ (root @ w[:-1])).astype(np.float32), w[-1].astype(np.float32), least)
 
 
 def _lowered(text: str) -> bytes:
@@ -96,18 +104,19 @@ def _lowered(text: str) -> bytes:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from labelled rows: ``sample`` documents at most, as many for each language,
     those of the smallest hashes of their ids (found by a threshold; the limit holds where
-    one id repeats without end). Rows without text or language have no part."""
-    labelled = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)))
+    one id repeats without end). Rows without text or language, or of texts over
+    ``LONGEST_SAMPLED`` bytes, have no part."""
+    labelled = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").where(F.octet_length("text") <= LONGEST_SAMPLED).withColumn("h", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)))
     found = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not found:
         return fit([], [])
     each = max(1, sample // len(found))
     limits = F.create_map(*[F.lit(x) for lang, n in sorted(found.items()) for x in (lang, int((1 << 20) * min(1.0, 1.5 * (each + 20) / n)) + 1)])
-    rows = labelled.where(F.col("h") < limits[F.col("lang")]).select("lang", "h", "doc_id", "text").limit(4 * sample).toPandas()
-    rows = rows.sort_values(["h", "doc_id", "text"]).groupby("lang", sort=True).head(each)
+    rows = labelled.where(F.col("h") < limits[F.col("lang")]).select("lang", "h", "doc_id", "text").orderBy("h", "doc_id", "lang", "text").limit(4 * sample).toPandas()
+    rows = rows.groupby("lang", sort=True).head(each)
     texts, labels = [], []
     for lang, text in zip(rows["lang"], rows["text"], strict=True):
-        if _LETTER.search(text):
+        if has_letter(text):
             whole = _lowered(text)
             for t in dict.fromkeys([whole, *(whole[:n] for n in SNIPPETS)]):
                 texts.append(t)
@@ -115,34 +124,36 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(texts, labels)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """keep's columns of docs with the language and its score (under ``names``), from the texts alone.
+def told(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
+    """Languages and scores of some texts, ``BATCH`` of them multiplied at once.
 
     ``und`` with score 0 where the text is null or has no letter (or nothing was
     learned). Score: the regression's value for the language, brought within 0 to 1.
     """
-    keep, names = list(keep), list(names)
-    text = common.fresh("_text", keep)
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.constants))
-
-    def run(batches):
-        model = Model(*sent.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                texts = part.column(text).to_pylist()
-                langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-                told = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model.languages else []
-                if told:
-                    values = model.scores([_lowered(texts[i]) for i in told])
-                    for i, best, v in zip(told, values.argmax(1).tolist(), values.max(1).tolist(), strict=True):
-                        langs[i], scores[i] = model.languages[best], min(1.0, max(0.0, v))
-                columns = [part.column(c) for c in keep]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs), pa.array(scores, pa.float64())], names=[*keep, *names])
-
-    own = docs.select(*[F.col(f"`{c}`") for c in keep])
-    schema = T.StructType([*own.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(text)).mapInArrow(run, schema)
+    langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+    some = [i for i, t in enumerate(texts) if t and has_letter(t)] if model.languages else []
+    for at in range(0, len(some), BATCH):
+        part = some[at : at + BATCH]
+        values = model.scores([_lowered(texts[i]) for i in part])
+        for i, best, v in zip(part, values.argmax(1).tolist(), values.max(1).tolist(), strict=True):
+            langs[i], scores[i] = model.languages[best], min(1.0, max(0.0, v))
+    return langs, scores
+
+
+def teller(spark: SparkSession, model: Model):
+    """A column function of a text: struct(lang, score). Only texts go to the workers, only this comes back."""
+    sent = spark.sparkContext.broadcast((model.languages, model.weights, model.constants))
+
+    @F.arrow_udf("lang string, score double")
+    def tell(texts: pa.Array) -> pa.Array:
+        model, langs, scores = Model(*sent.value), [], []
+        for at in range(0, len(texts), BATCH):
+            a, b = told(texts.slice(at, BATCH).to_pylist(), model)
+            langs += a
+            scores += b
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+
+    return tell
 
 
 def identify(docs: DataFrame, modulus: int = 5) -> DataFrame:
@@ -153,16 +164,22 @@ def identify(docs: DataFrame, modulus: int = 5) -> DataFrame:
     are not used.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", (common.remainder("doc_id", modulus) == 0).alias("held_out"))
-    model = train(rows.where("NOT held_out"))
-    return predict(rows, model, ["doc_id", "held_out"])
+    tell = teller(docs.sparkSession, train(rows.where("NOT held_out")))
+    return rows.select("doc_id", "held_out", tell("text").alias("t")).select("doc_id", "held_out", F.col("t.lang").alias("lang_pred"), "t.score")
 
 
-def accepted(docs: DataFrame, modulus: int = 5, least: float = REJECTED) -> DataFrame:
-    """docs without those whose language cannot be told: no letter, or no language scores ``least``."""
+def accepted(docs: DataFrame, modulus: int = 5, part: float = REJECTED) -> DataFrame:
+    """docs, with all their columns, without the rows whose language cannot be told.
+
+    Those are rows whose text is null, empty or has no letter, and rows whose best score
+    is below ``part`` of the least that any text of the sample gets for its own language
+    (so the bound moves with the number of languages and what was learned of them).
+    With nothing to learn from, no language can be told and no row is left. Rows that
+    repeat are judged alike; an empty table gives an empty table.
+    """
     model = train(docs.where(common.remainder("doc_id", modulus) != 0))
-    names = common.fresh("lang_pred", docs.columns), common.fresh("score", docs.columns)
-    told = predict(docs, model, docs.columns, names)
-    return told.where((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= least)).drop(*names)
+    judged = teller(docs.sparkSession, model)(F.col("text"))
+    return docs.where((judged["lang"] != UNDETERMINED) & (judged["score"] >= part * model.least))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,7 @@ def test_defined_results_of_null_and_empty(messy):
     by = lambda df: {r["doc_id"]: r for r in df.collect()}
     counts = by(token_counts.count_tokens(messy))
     assert (counts[900]["n_bytes"], counts[900]["n_tokens"]) == (0, 0) == (counts[901]["n_bytes"], counts[901]["n_tokens"])
+    assert not any(map(language_id.has_letter, ("½ ² ¼", "12", "_", ""))) and language_id.has_letter("1 é")
     langs = by(language_id.identify(messy))
     assert [langs[i]["lang_pred"] for i in (900, 901, 902, 903)] == ["und"] * 4 and langs[903]["score"] == 0
     near = by(simhash.near_duplicates(messy))
