@@ -83,12 +83,15 @@ def _fingerprint_batches(batches):
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_fingerprints(texts).view(np.int64))], names=["doc_id", "fp"])
+            others = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(_fingerprints(texts).view(np.int64))], names=[*others, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long). A null or empty text has fingerprint zero."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(doc_id, fp long), and a long column of docs named by ``row``. A null or empty text has fingerprint zero."""
+    more = [F.col(f"`{row}`")] if row else []
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.col("text").alias("text"))
+    return narrow.mapInArrow(_fingerprint_batches, "doc_id long, " + f"`{row}` long, " * bool(row) + "fp long")
 
 
 def _byte(i: int):
@@ -208,6 +211,13 @@ def links(fps: DataFrame) -> DataFrame:
     return lists.mapInArrow(_link_batches, "a long, b long").distinct()
 
 
+def _labelled(known: DataFrame) -> DataFrame:
+    """(fp, root): each fingerprint's component, named by its smallest fingerprint."""
+    classes = common.stored(known.select("fp").distinct(), "classes")
+    groups = components(common.stored(links(classes), "links"))  # node, root: only what has links
+    return classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs, which needs doc_id and text.
 
@@ -217,23 +227,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     names. An empty table gives an empty table.
     """
     known = common.stored(fingerprints(docs), "fingerprints")
-    classes = common.stored(known.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    pairs = common.stored(links(classes.select("fp")), "links")
-    groups = components(pairs)  # node, root: only what has links
-    named = classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    first = known.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    named = common.stored(first.join(_labelled(known), "fp"), "named")
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = named.join(smallest, "root").select("fp", "component_id")
     return known.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one of the smallest id.
+    """docs, with all their columns, with one row of each component: of the smallest id in
+    it, and if several rows of that id are in it, the one of the smallest row hash.
 
-    Of rows that repeat an id, one stays. Rows without an id cannot be named by a
-    component and stay.
+    So different texts under one id stay, unless they are near copies; of rows that
+    repeat, one stays, the same in every run. Rows without an id cannot be named and
+    stay. Null and empty texts are one component. An empty table gives an empty table.
+    Rows are told apart by (doc_id, hash of the row), and texts are moved once.
     """
-    kept = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    row = common.fresh("_row", docs.columns)
+    hashed = docs.withColumn(row, common.row_hash(docs))
+    known = common.stored(fingerprints(hashed.where("doc_id IS NOT NULL"), row), "fingerprints")
+    least = F.min(F.struct("doc_id", F.col(row))).alias("w")
+    winners = known.groupBy("fp").agg(least).join(_labelled(known), "fp").groupBy("root").agg(F.min("w").alias("w"))
+    kept = common.stored(winners.select("w.*"), "kept")
+    # the winners grow with the table: joined by a shuffle, whatever their size here
+    named = hashed.where("doc_id IS NOT NULL").join(kept.hint("merge"), ["doc_id", row], "left_semi").dropDuplicates(["doc_id", row])
     return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
