@@ -19,10 +19,22 @@ _shipped: set[str] = set()
 _made: list[str] = []
 
 
+#: Bytes of a batch that goes to a Python worker at once, unless the session says otherwise:
+#: a batch of 10,000 long texts would be held several times over, outside the heap.
+BATCH_BYTES = 8 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a folder of this machine serves a local session, whose tasks all
+    run here; on a cluster it is an error, as executors would not see each other's files.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="keystate-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -52,7 +64,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each application."""
+    """Send this package to the Python workers, once for each application, and bound their batches."""
+    if _BATCHES not in spark.conf.getAll:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -74,6 +88,11 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all of a row's columns that can be hashed: equal for repeated rows only."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not any(x in kind for x in ("map<", "variant", "interval"))])
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """name, with underscores added until no taken name equals it (case has no part in that)."""
     lower = {t.lower() for t in taken}
