@@ -1,26 +1,26 @@
 """Bulk-synchronous best-fit packing of tokenized documents into sequences.
 
-Documents and gaps are kept sorted by size. A sweep from large to small sends each
-document to its successor, the smallest gap that holds it; where several want one gap
-the first by rank gets it and the others go on to the next. Then the gaps are updated
-and the sweep is repeated: with the longest documents (those within a 32nd of the
-longest left) until they are placed, then with the next longest. Once a sweep places
-none, the documents left open sequences: as many of the longest as all of them together
-need at least.
-
-Sizes are whole numbers up to the sequence length, and documents of one size differ
-only in rank. So both sorted lists are held run-length coded: a run is a size and a
-range of ranks, and a sweep is over at most 2,048 runs of documents and the runs of
-gaps, whatever the number of documents. The distributed part is all that touches
-rows: cutting and counting by size, the rank of each piece in its size (ranks within
-a task, plus the counts of the tasks before it), and the successor search of each
-piece among the matched runs.
+Pieces of documents and gaps of sequences are rows. A sweep range-sorts both by size,
+from large to small, and sends each document to its successor, the smallest gap that
+holds it and that no document before it has got: conflicts go by rank in that order.
+Then the gaps are updated, and the sweep is repeated with the documents left over.
+
+A sweep takes the documents over a fifth of the longest left (``BAND``), until all of
+them are placed. Before it, as many sequences are opened as those documents need that
+no gap holds. A gap that can hold several of the longest offers a slot for each, so
+short documents do not need a sweep for each one that a gap takes.
+
+Matching is that of brackets: a gap opens, a document closes. With +1 for a gap and -1
+for a document, prefix sums give each row its depth, and a document matches the gap
+before it at its depth. Prefix sums are of each range partition, whose total and least
+value are handed on to the next ones; rows then meet by depth, of which there are as
+many as gaps, and at one depth at most as many rows as there are different sizes, twice.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 LENGTH, VOCABULARY, END = 2048, "byte_bpe_50k.json", 0
-#: A round takes the documents within so small a part of the longest left.
-BANDS = 32
-_PIECES = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("nth", pa.int64())]
-_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
+#: A sweep takes the documents over 1 - 1/BAND of the longest left.
+BAND = 1.25
+#: Rows of a range partition of a sweep, about 40 bytes each.
+ROWS = 500_000
+_PIECES = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def cut_lengths(n: int, most: int) -> list[int]:
@@ -49,7 +51,7 @@ def _cut(vocabulary: str, end: int, most: int, keep_ids: bool):
 
     def run(batches):
         cache = tokens.pieces(tokens.BytePieces, vocabulary)
-        task, nth, tail = TaskContext.get().partitionId(), Counter(), np.array([end], "<u4").tobytes()
+        tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, tokens.GROUP):
                 part = batch.slice(at, tokens.GROUP)
@@ -59,8 +61,7 @@ def _cut(vocabulary: str, end: int, most: int, keep_ids: bool):
                     start = 0
                     for piece, n in enumerate(cut_lengths(len(ids) // 4, most)):
                         own = ids[4 * start : 4 * (start + n)]
-                        rows.append((doc_id, piece, start, n, zlib.crc32(own), task, nth[n], own)[: len(names)])
-                        nth[n] += 1
+                        rows.append((doc_id, piece, start, n, zlib.crc32(own), own)[: len(names)])
                         start += n
                 columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), names, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -68,89 +69,108 @@ def _cut(vocabulary: str, end: int, most: int, keep_ids: bool):
     return run
 
 
-def matched_runs(counts: np.ndarray, most: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """(size, first rank, number, first sequence, place) of all runs, and the number of sequences.
-
-    counts: how many documents have each size, from 0 to most.
-    """
-    left, done = [int(c) for c in counts], [0] * (most + 1)
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(most + 1)]  # by size: ranges of sequences
-    runs, opened = [], 0
-
-    def place(size: int, first: int, n: int, gap: int, new: list) -> None:
-        runs.append((size, done[size], n, first, most - gap))
-        done[size] += n
-        left[size] -= n
-        new.append((gap - size, first, n))
-
-    top = most
-    while top >= 1:
-        floor = top - max(1, top // BANDS)
-        while any(left[floor + 1 : top + 1]):
-            new: list[tuple[int, int, int]] = []
-            stack: list[int] = []  # sizes with gaps, the smallest last
-            for size in range(most, floor, -1):
-                if gaps[size]:
-                    stack.append(size)
-                while size <= top and left[size] and stack:
-                    gap = stack[-1]
-                    first, n = gaps[gap].pop()
-                    if n > left[size]:
-                        gaps[gap].append((first + left[size], n - left[size]))
-                        n = left[size]
-                    place(size, first, n, gap, new)
-                    if not gaps[gap]:
-                        stack.pop()
-            if not new:  # no gap is left for any of them
-                total = sum(size * left[size] for size in range(floor + 1, top + 1))
-                opening = max(-(-total // most), sum(left[max(floor, most // 2) + 1 : top + 1]))
-                for size in range(top, floor, -1):
-                    if n := min(opening, left[size]):
-                        place(size, opened, n, most, new)
-                        opened += n
-                        opening -= n
-            for gap, first, n in new:
-                if gap:
-                    gaps[gap].append((first, n))
-        top = floor
-    return runs, opened
+def _prefix(batches):
+    """Sorted rows with the sum of brackets up to each in its partition, the least sum so
+    far, and whether the row is below all before it."""
+    part, nth, total, least = TaskContext.get().partitionId(), 0, 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sums = total + np.cumsum(np.where(batch.column("doc").to_numpy(zero_copy_only=False), -1, 1))
+        mins = np.minimum.accumulate(sums if least is None else np.minimum(sums, least))
+        before = np.concatenate([[sums[0] + 1 if least is None else least], mins[:-1]])
+        at = np.arange(nth, nth + len(sums))
+        nth, total, least = nth + len(sums), int(sums[-1]), int(mins[-1])
+        columns = [*batch.columns, pa.array(np.full(len(sums), part, np.int32)), pa.array(at), pa.array(sums), pa.array(mins), pa.array(sums < before)]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "part", "nth", "sum", "least", "low"])
+
+
+def _sweep(docs: DataFrame, gaps: DataFrame, n_docs: int, n_gaps: int, top: int) -> tuple[DataFrame, DataFrame]:
+    """One sweep of docs (pid, size), none over top, to gaps (seq, size): the slots with
+    what they got (seq, size, pid, got), and the documents left (pid, size)."""
+    spark = docs.sparkSession
+    most_slots = math.ceil(2 * n_docs / max(1, n_gaps)) + 1  # so slots are not many more than documents and gaps
+    slots = F.greatest(F.lit(1), F.least(F.floor(F.col("size") / top), F.lit(most_slots))).cast("int")
+    offered = gaps.select("seq", "size", slots.alias("m")).select("seq", "size", "m", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("k"))
+    size = F.when(F.col("k") < F.col("m"), F.lit(top)).otherwise(F.col("size") - (F.col("m") - 1) * top)
+    rows = offered.select(F.lit(False).alias("doc"), F.col("seq").alias("id"), "k", size.cast("int").alias("size"))
+    rows = rows.unionByName(docs.select(F.lit(True).alias("doc"), F.col("pid").alias("id"), F.lit(0).alias("k"), F.col("size").cast("int").alias("size")))
+    order = [F.col("size").desc(), F.col("doc"), F.col("id"), F.col("k")]
+    parts = max(1, math.ceil((n_docs + n_gaps) / ROWS))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    laid = common.stored(ranged.mapInArrow(_prefix, "doc boolean, id long, k int, size int, part int, nth long, sum long, least long, low boolean"), "sweep")
+    # a row for each range partition: what the partitions before it hand on
+    carry, total, least = [], 0, 0
+    for r in sorted(laid.groupBy("part").agg(F.max_by("sum", "nth").alias("sum"), F.min("least").alias("least")).collect()):
+        carry.append((r["part"], total, least))
+        total, least = total + r["sum"], min(least, total + r["least"])
+    handed = F.broadcast(spark.createDataFrame(carry, "part int, s0 long, m0 long"))
+    at = F.col("s0") + F.col("sum")
+    left = F.col("doc") & F.col("low") & (at < F.col("m0"))
+    depth = at - F.least(F.col("m0"), F.col("s0") + F.col("least"))
+    here = laid.join(handed, "part").withColumn("left", left).withColumn("depth", depth + F.col("doc").cast("int"))
+    along = Window.partitionBy("depth").orderBy("part", "nth")
+    met = here.where("NOT left").select("doc", "id", "size", F.lead("id").over(along).alias("pid"), F.lead("size").over(along).alias("got"))
+    return common.stored(met.where("NOT doc").select(F.col("id").alias("seq"), "size", "pid", "got"), "slots"), here.where("left").select(F.col("id").alias("pid"), "size")
+
+
+def _by_size(docs: DataFrame, gaps: DataFrame | None = None) -> tuple[dict[int, int], dict[int, int]]:
+    """How many documents and gaps have each size: a row for each size."""
+    rows = docs.select(F.lit(True).alias("doc"), F.col("size").cast("int").alias("size"))
+    rows = rows if gaps is None else rows.unionByName(gaps.select(F.lit(False).alias("doc"), F.col("size").cast("int").alias("size")))
+    found = rows.groupBy("doc", "size").count().collect()
+    return tuple({r["size"]: r["count"] for r in found if r["doc"] == d} for d in (True, False))
+
+
+def place(docs: DataFrame, most: int) -> tuple[DataFrame | None, int]:
+    """(pid, seq, size) of all docs (pid, size), and the number of sequences."""
+    spark = docs.sparkSession
+    left, open_gaps, opened, done = _by_size(docs)[0], {}, 0, []
+    gaps = spark.createDataFrame([], "seq long, size int")
+    while left:
+        top = max(left)
+        floor = top - max(1, int(top / BAND))
+        band = docs.where((F.col("size") > floor) & (F.col("size") <= top))
+        waiting = {size: n for size, n in left.items() if size > floor}
+        left = {size: n for size, n in left.items() if size <= floor}
+        while waiting:
+            largest = max(open_gaps, default=0)
+            unfit = {size: n for size, n in waiting.items() if size > largest}
+            if unfit:
+                n = max(-(-sum(size * n for size, n in unfit.items()) // most), sum(n for size, n in unfit.items() if 2 * size > most))
+                gaps = gaps.unionByName(spark.range(opened, opened + n, 1, max(1, math.ceil(n / ROWS))).select(F.col("id").alias("seq"), F.lit(most).alias("size")))
+                opened, open_gaps[most] = opened + n, open_gaps.get(most, 0) + n
+            eligible = sum(n for size, n in open_gaps.items() if size > floor)
+            slots, band = _sweep(band, gaps.where(F.col("size") > floor), sum(waiting.values()), eligible, top)
+            done.append(slots.where("pid IS NOT NULL").select("pid", "seq", F.col("got").alias("size")))
+            updated = slots.groupBy("seq").agg((F.sum("size") - F.coalesce(F.sum("got"), F.lit(0))).cast("int").alias("size")).where("size > 0")
+            gaps = common.stored(gaps.where(F.col("size") <= floor).unionByName(updated), "gaps")
+            waiting, open_gaps = _by_size(band, gaps)
+    if not done:
+        return None, 0
+    placed = done[0]
+    for more in done[1:]:
+        placed = placed.unionByName(more)
+    return placed, opened
 
 
 def pack(docs: DataFrame, most: int = LENGTH, vocabulary: str = VOCABULARY, end: int = END, keep_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     docs needs doc_id and text. A null text is an empty one: its piece is the end id
-    alone. Rows that repeat are packed as often as they come. Other columns of docs are
-    not used. An empty table gives an empty table.
+    alone. Rows that repeat are packed as often as they come; pieces of one size go by
+    their place in the table. Other columns of docs are not used. An empty table gives
+    an empty table.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(vocabulary, end, most, keep_ids), _DDL + ", ids binary" * keep_ids)
-    pieces = common.stored(rows, "pieces")
-    by_task = common.stored(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "piece-counts")
-    counts = np.zeros(most + 1, np.int64)
-    for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # most rows at most
-        counts[r["length"]] = r["n"]
-    runs, _ = matched_runs(counts, most)
-    base = np.concatenate([[0], np.cumsum(counts)])
-    table = np.array(sorted((base[size] + rank, first, place) for size, rank, _, first, place in runs), np.int64).reshape(-1, 3)
-    sent = spark.sparkContext.broadcast((base, table))
-    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    # a row for each size of each task: never broadcast, as tasks grow with the input
-    ranked = pieces.join(offsets.hint("merge"), ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
+    pieces = common.stored(rows.withColumn("pid", F.monotonically_increasing_id()), "pieces")
+    placed, _ = place(pieces.select("pid", F.col("length").cast("int").alias("size")), most)
     kept = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
-
-    def assign(batches):
-        base, table = sent.value
-        for batch in batches:
-            key = base[batch.column("length").to_numpy()] + batch.column("rank").to_numpy()
-            run = np.searchsorted(table[:, 0], key, "right") - 1
-            sequence = table[run, 1] + key - table[run, 0]
-            columns = [batch.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(table[run, 2])], names=[*kept, "sequence_id", "offset"])
-
-    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * keep_ids + "sequence_id long, offset long"
-    return ranked.select(*kept, "rank").mapInArrow(assign, ddl)
+    if placed is None:
+        return pieces.select(*kept, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    before = Window.partitionBy("seq").orderBy(F.col("size").desc(), "pid").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.select("pid", F.col("seq").alias("sequence_id"), F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("offset"))
+    return pieces.join(placed.hint("merge"), "pid").select(*kept, "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 from keystate.llm import common, hmm, language_id, language_model, licences, media, mixing, multiset, packing, simhash, token_counts, token_output, tokens
 
 from .conftest import SCHEMA
+from .plain_packing import matched_runs
 
 
 @pytest.fixture(scope="module")
@@ -152,7 +153,7 @@ def test_matched_runs_place_everything():
     for most in (1, 2, 10, 64):
         for _ in range(20):
             counts = np.concatenate([[0], rng.integers(0, 30, most)])
-            runs, opened = packing.matched_runs(counts, most)
+            runs, opened = matched_runs(counts, most)
             seen, fill = Counter(), {}
             for size, rank, n, first, place in runs:
                 for i in range(n):
@@ -168,6 +169,22 @@ def test_matched_runs_place_everything():
                 assert at <= most
 
 
+@pytest.mark.parametrize("kind", ["any", "one size", "short"])
+def test_distributed_sweeps(spark, monkeypatch, kind):
+    """All placed, none over the length, as few sequences as the plain version needs; over several range partitions."""
+    rng = np.random.default_rng(3)
+    sizes = {"any": rng.integers(1, 65, 900), "one size": np.r_[np.full(300, 40), np.full(200, 24), np.full(80, 64)], "short": rng.integers(1, 4, 700)}[kind]
+    monkeypatch.setattr(packing, "ROWS", 300)
+    placed, opened = packing.place(spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "pid long, size int").repartition(3), 64)
+    rows = placed.collect()
+    assert sorted(r["pid"] for r in rows) == list(range(len(sizes))) and all(r["size"] == sizes[r["pid"]] for r in rows)
+    fill = Counter()
+    for r in rows:
+        fill[r["seq"]] += r["size"]
+    assert max(fill.values()) <= 64 and len(fill) == opened
+    assert opened <= matched_runs(np.bincount(sizes, minlength=65), 64)[1] * 1.01 + 1
+
+
 def brute_components(fps, ids):
     parent = list(range(len(fps)))
 
