@@ -1,19 +1,22 @@
 """Licence scans by sentence rules.
 
 A text is cut into sentences, each normalised (lower case, all but letters and digits
-one blank) and looked up among known licence sentences, which gives an identifier.
-Sentences that are not known drop out; what is left is the text's sequence of
-identifiers. A rule is an ordered sequence of identifiers of one licence; it holds
-where it is a contiguous part of the text's sequence. Rules are tried in their order,
-longer ones of a licence first.
-
-Texts are cut twice: with line ends as blanks, for sentences that run over lines, and
-with line ends as cuts, for notices on a line of their own.
+one blank) and looked up among known licence sentences, which gives an identifier; any
+other sentence is an unknown one. A rule is an ordered sequence of identifiers of one
+licence; it holds where they follow each other in the text with at most ``GAP`` unknown
+sentences between two of them. Rules are tried in their order, longer ones of a licence
+first.
+
+Texts are cut twice: into paragraphs and their sentences, with line ends as blanks, for
+sentences that run over lines; and with line ends as cuts, for notices on a line of
+their own. Beforehand comment signs and list marks at line starts go, and copyright lines
+become cuts.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,17 +64,51 @@ SENTENCES = {
     "cc-by-4-short": "Licensed under CC BY 4.0",
     "cc-by-sa-4-short": "Licensed under CC BY-SA 4.0",
     "cc0-short": "Licensed under CC0 1.0",
-    "reserved": "All rights reserved",
+    "bsd-endorse-org": "Neither the name of the organization nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-as-is": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
+    "apache-copy-url": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-copy-url-s": "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
+    "mpl-copy-s": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "lgpl-redistribute-21": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl-redistribute-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl-redistribute-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl-redistribute-only-2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "epl-terms-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "boost-distributed": "Distributed under the Boost Software License, Version 1.0",
+    "cc0-dedicated": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "spdx-bsd-2": "SPDX-License-Identifier: BSD-2-Clause",
+    "spdx-bsd-3": "SPDX-License-Identifier: BSD-3-Clause",
+    "spdx-gpl-2": "SPDX-License-Identifier: GPL-2.0-only",
+    "spdx-gpl-2-later": "SPDX-License-Identifier: GPL-2.0-or-later",
+    "spdx-gpl-3": "SPDX-License-Identifier: GPL-3.0-only",
+    "spdx-gpl-3-later": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "spdx-lgpl-21-later": "SPDX-License-Identifier: LGPL-2.1-or-later",
+    "spdx-mpl-2": "SPDX-License-Identifier: MPL-2.0",
+    "spdx-isc": "SPDX-License-Identifier: ISC",
+    "spdx-mit-or-apache": "SPDX-License-Identifier: MIT OR Apache-2.0",
+    "spdx-apache-or-mit": "SPDX-License-Identifier: Apache-2.0 OR MIT",
 }
 # Ordered rules, the licence and its sequence of identifiers.
 RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-as-is", "mit-liable"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse-org"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("GPL-2.0-or-later", ["gpl-redistribute-2", "gpl-hope", "gpl-details"]),
     ("GPL-3.0-or-later", ["gpl-redistribute-3", "gpl-hope", "gpl-details"]),
     ("Apache-2.0", ["apache-licensed-the", "apache-compliance", "apache-copy"]),
+    ("Apache-2.0", ["apache-licensed-the", "apache-compliance", "apache-copy-url"]),
+    ("Apache-2.0", ["apache-licensed-the", "apache-compliance", "apache-copy-url-s"]),
+    ("LGPL-2.1-or-later", ["lgpl-redistribute-21"]),
+    ("LGPL-3.0-or-later", ["lgpl-redistribute-3"]),
+    ("AGPL-3.0-or-later", ["agpl-redistribute-3"]),
+    ("GPL-2.0-only", ["gpl-redistribute-only-2"]),
+    ("EPL-2.0", ["epl-terms-2"]),
+    ("BSL-1.0", ["boost-distributed"]),
+    ("CC0-1.0", ["cc0-dedicated"]),
     ("MPL-2.0", ["mpl-subject", "mpl-copy"]),
+    ("MPL-2.0", ["mpl-subject", "mpl-copy-s"]),
     ("ISC", ["isc-grant", "isc-as-is"]),
     ("Unlicense", ["unlicense-public", "unlicense-free"]),
     ("Zlib", ["zlib-as-is", "zlib-grant"]),
@@ -91,9 +128,29 @@ RULES = [
     ("CC-BY-SA-4.0", ["cc-by-sa-4-short"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4"]),
     ("CC0-1.0", ["cc0-short"]),
+    ("BSD-2-Clause", ["spdx-bsd-2"]),
+    ("BSD-3-Clause", ["spdx-bsd-3"]),
+    ("GPL-2.0-only", ["spdx-gpl-2"]),
+    ("GPL-2.0-or-later", ["spdx-gpl-2-later"]),
+    ("GPL-3.0-only", ["spdx-gpl-3"]),
+    ("GPL-3.0-or-later", ["spdx-gpl-3-later"]),
+    ("LGPL-2.1-or-later", ["spdx-lgpl-21-later"]),
+    ("MPL-2.0", ["spdx-mpl-2"]),
+    ("ISC", ["spdx-isc"]),
+    ("MIT", ["spdx-mit-or-apache"]),
+    ("Apache-2.0", ["spdx-mit-or-apache"]),
+    ("Apache-2.0", ["spdx-apache-or-mit"]),
+    ("MIT", ["spdx-apache-or-mit"]),
 ]
-#: Where sentences end: stops followed by white space or the end; with line ends as cuts, those too.
-STOPS, STOPS_OR_LINES = r"[.!?:;]+(?:[ \t\n\r]+|$)", r"[.!?:;]*(?:[.!?:;][ \t\r]+|[.!?:;]$|\n)"
+#: Unknown sentences that may stand between two of a rule.
+GAP = 3
+#: Comment signs and list marks at a line's start, which go.
+MARKS = r"(^|\n)[ \t]*(?:(?:/\*+|\*+/?|//+|#+|;+|--+|<!--|%+|>+)[ \t]*)?(?:(?:[0-9]{1,2}|[a-z])[.)][ \t]+|\([0-9a-z]{1,2}\)[ \t]+)?"
+#: Copyright lines (in lower case), which cut; so do empty lines and rules of signs.
+OWNERS = r"(^|\n)(?:copyright[ \t]+(?:\(c\)|©|<year>|\[yyyy\]|[0-9]{4})|\(c\)[ \t]*(?:copyright|[0-9]{4})|©|all rights reserved)[^\n]*"
+#: Where sentences end: stops followed by white space or the end, and empty lines; with line ends as cuts, those too.
+STOPS, STOPS_OR_LINES = r"[.!?:;]+(?:[ \t\n\r]+|$)|\n[ \t\r*#=/-]*\n\s*", r"[.!?:;]*(?:[.!?:;][ \t\r]+|[.!?:;]$|\n)"
+UNKNOWN = "?"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -111,36 +168,55 @@ def known_sentences() -> dict[str, str]:
     return {part: f"{name}.{i}" for name, s in SENTENCES.items() for i, part in enumerate(_parts(s))}
 
 
-def rules() -> list[tuple[str, str]]:
-    """(licence, pattern): the rule's identifiers between bars."""
-    known = known_sentences()
-    return [(licence, "|" + "|".join(known[p] for name in names for p in _parts(SENTENCES[name])) + "|") for licence, names in RULES]
+def rules() -> list[tuple[str, str, list[str]]]:
+    """(licence, regular expression, those of other licences' rules that begin with this one).
 
+    The first is the rule's identifiers between bars, with some unknown sentences. A rule
+    does not hold where one of the others does, as it is then that one's beginning.
+    """
+    known, between = known_sentences(), f"[|](?:[{UNKNOWN}][|]){{0,{GAP}}}"
+
+    def pattern(names: list[str]) -> str:
+        return "[|]" + between.join(known[p].replace(".", "[.]") for name in names for p in _parts(SENTENCES[name])) + "[|]"
+
+    return [(licence, pattern(names), [pattern(other) for of, other in RULES if of != licence and len(other) > len(names) and other[: len(names)] == names]) for licence, names in RULES]
+
+
+def _clean(text: Column) -> Column:
+    """Lower case, without marks at line starts, copyright lines empty."""
+    bare = F.regexp_replace(F.translate(text, UPPER, LOWER), MARKS, "$1")
+    return F.regexp_replace(bare, OWNERS, "$1\n\n")
 
-def _sequence(text: Column, stops: str) -> Column:
-    """The identifiers of the text's known sentences between bars."""
+
+def _sequence(clean: Column, stops: str) -> Column:
+    """The identifiers of the text's sentences between bars; without a known one, only two bars."""
     known = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
-    clean = F.transform(F.split(F.translate(text, UPPER, LOWER), stops, -1), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    found = F.filter(F.transform(clean, lambda s: F.element_at(known, s)), lambda i: i.isNotNull())
-    return F.concat(F.lit("|"), F.array_join(found, "|"), F.lit("|"))
+    sentences = F.filter(F.transform(F.split(clean, stops, -1), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
+    found = F.transform(sentences, lambda s: F.coalesce(F.element_at(known, s), F.lit(UNKNOWN)))
+    joined = F.concat(F.lit("|"), F.array_join(found, "|"), F.lit("|"))
+    return F.regexp_replace(joined, f"^(?:[|][{UNKNOWN}])*[|]$|^[|][|]$", "||")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_known, licences, primary) for each row; docs needs doc_id and text.
 
-    n_known: known sentences, as cut without line ends or with them, whichever finds
-    more. licences: names of the rules that hold, in the rules' order, joined by commas,
+    n_known: known sentences, as cut in paragraphs or in lines, whichever finds more. licences: names of the rules that hold, in the rules' order, joined by commas,
     empty if there are none; primary: the first of them, or null. A null or empty text
     has none. Rows that repeat give a row each; other columns are not used; an empty
     table gives an empty table.
     """
-    text = F.coalesce("text", F.lit(""))
-    found = docs.select("doc_id", _sequence(text, STOPS).alias("a"), _sequence(text, STOPS_OR_LINES).alias("b"))
-    holds = [F.when(F.contains("a", F.lit(p)) | F.contains("b", F.lit(p)), F.lit(name)) for name, p in rules()]
-    names = F.array_distinct(F.array_compact(F.array(*holds)))
-    n = F.greatest(*[F.greatest(F.length(c) - F.length(F.replace(c, F.lit("|"), F.lit(""))) - 1, F.lit(0)) for c in (F.col("a"), F.col("b"))])
+    clean = docs.select("doc_id", _clean(F.coalesce("text", F.lit(""))).alias("clean"))
+    found = clean.select("doc_id", _sequence(F.col("clean"), STOPS).alias("a"), _sequence(F.col("clean"), STOPS_OR_LINES).alias("b"))
     none = (F.col("a") == "||") & (F.col("b") == "||")
-    return found.select("doc_id", F.when(none, 0).otherwise(n).cast("long").alias("n_known"), F.array_join(names, ",").alias("licences"), F.get(names, F.lit(0)).alias("primary"))
+
+    def met(p: str) -> Column:
+        return F.rlike("a", F.lit(p)) | F.rlike("b", F.lit(p))
+
+    holds = [F.when(reduce(lambda c, q: c & ~met(q), longer, met(p)), F.lit(name)) for name, p, longer in rules()]
+    names = F.when(none, F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.array(*holds))))
+    known = [F.size(F.filter(F.split(c, "[|]"), lambda s: (s != "") & (s != UNKNOWN))) for c in "ab"]
+    named = found.select("doc_id", F.when(none, 0).otherwise(F.greatest(*known)).cast("long").alias("n_known"), names.alias("names"))
+    return named.select("doc_id", "n_known", F.array_join("names", ",").alias("licences"), F.get("names", F.lit(0)).alias("primary"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,19 +226,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     known = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in known_sentences().items()) + "}"
 
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
     def sequence(stops: str) -> str:
-        stops = stops.replace("'", "''")
-        clean = f"list_transform(string_split_regex(translate(t, '{UPPER}', '{LOWER}'), '{stops}'), lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'), ' '))"
-        return f"'|' || array_to_string(list_filter(list_transform({clean}, lambda s: k[s]), lambda i: i IS NOT NULL), '|') || '|'"
+        clean = f"list_filter(list_transform(string_split_regex(t, {quoted(stops)}), lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'), ' ')), lambda s: s <> '')"
+        joined = f"'|' || array_to_string(list_transform({clean}, lambda s: coalesce(k[s], '{UNKNOWN}')), '|') || '|'"
+        return f"regexp_replace({joined}, '^(?:[|][{UNKNOWN}])*[|]$|^[|][|]$', '||')"
+
+    def met(p: str) -> str:
+        return f"(regexp_matches(a, {quoted(p)}) OR regexp_matches(b, {quoted(p)}))"
 
-    holds = ", ".join(f"CASE WHEN contains(a, '{p}') OR contains(b, '{p}') THEN '{name}' END" for name, p in rules())
-    bars = "greatest(len({0}) - len(replace({0}, '|', '')) - 1, 0)"
+    holds = ", ".join(f"CASE WHEN {' AND NOT '.join(map(met, [p, *longer]))} THEN '{name}' END" for name, p, longer in rules())
+    n = f"len(list_filter(string_split({{0}}, '|'), lambda s: s <> '' AND s <> '{UNKNOWN}'))"
+    bare = f"regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {quoted(MARKS)}, '\\1', 'g')"
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {known} AS k FROM documents),
+WITH d AS (SELECT doc_id, regexp_replace({bare}, {quoted(OWNERS)}, '\\1' || chr(10) || chr(10), 'g') AS t, {known} AS k FROM documents),
 s AS (SELECT doc_id, {sequence(STOPS)} AS a, {sequence(STOPS_OR_LINES)} AS b FROM d),
 h AS (SELECT doc_id, a, b, list_filter([{holds}], lambda x: x IS NOT NULL) AS all_names FROM s),
 n AS (SELECT *, list_filter(all_names, lambda x, i: list_position(all_names, x) = i) AS names FROM h)
-SELECT doc_id, (CASE WHEN a = '||' AND b = '||' THEN 0 ELSE greatest({bars.format("a")}, {bars.format("b")}) END)::BIGINT AS n_known,
+SELECT doc_id, (CASE WHEN a = '||' AND b = '||' THEN 0 ELSE greatest({n.format("a")}, {n.format("b")}) END)::BIGINT AS n_known,
        array_to_string(names, ',') AS licences, names[1] AS primary
 FROM n
 """

@@ -407,3 +407,31 @@ def test_licence_rules(spark):
     assert got[1]["licences"] == got[2]["licences"] == "MIT" and got[3]["licences"] == "MIT,CC-BY-NC-4.0"
     assert got[4]["licences"] == "" and got[4]["n_known"] == 3  # known sentences in no rule's order
     assert (got[5]["licences"], got[5]["primary"], got[5]["n_known"]) == ("", None, 0)
+
+
+def _wrapped(text, before="", width=72):
+    import textwrap
+
+    return "\n".join(before + line for part in text.split("\n\n") for line in [*textwrap.wrap(part, width - len(before)), ""])
+
+
+def test_licence_files_as_shipped(spark):
+    """With a title, copyright lines, quotes and list marks, wrapped, and in comments; scattered sentences are no licence."""
+    s = {k: v + "." for k, v in licences.SENTENCES.items()}
+    owner = "Copyright (c) 2020 Jane Doe\n\n"
+    bsd = f"{owner.rstrip()}\nAll rights reserved.\n\n{s['bsd-grant'][:-1]}:\n\n1. {s['bsd-source']}\n\n2. {s['bsd-binary']}\n\n"
+    files = {
+        "MIT": f"MIT License\n\n{owner}{s['mit-grant'].replace('(the Software)', '(the \"Software\")')[:-1]}:\n\n{s['mit-notice']}\n\n{s['mit-as-is']} {s['mit-liable']}",
+        "BSD-2-Clause": bsd + s["bsd-as-is"].replace(" AS IS", ' "AS IS"'),
+        "BSD-3-Clause": f"{bsd}3. {s['bsd-endorse']}\n\n{s['bsd-as-is']}",
+        "Apache-2.0": 'Copyright 2020 Jane Doe\n\nLicensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by law',
+        "ISC": owner + s["isc-grant"] + "\n\n" + s["isc-as-is"],
+        "GPL-3.0-or-later": f"{s['gpl-redistribute-3']}\n\n{s['gpl-hope']} {s['gpl-details']}",
+        "MPL-2.0": f"{s['mpl-subject']} {s['mpl-copy-s']}",
+    }
+    rows = [(f"{name} {i}", how(text)) for name, text in files.items() for i, how in enumerate([str, _wrapped, *[lambda t, b=b: _wrapped(t, b) for b in ("# ", " * ", "// ")]])]
+    filler = " ".join(f"Nothing of the kind is here {i}." for i in range(25))
+    rows += [("none 1", f"{s['bsd-grant']} {filler} {s['bsd-source']} {filler} {s['bsd-binary']}"), ("none 2", "All rights reserved."), ("MIT,Apache-2.0 1", "// SPDX-License-Identifier: MIT OR Apache-2.0")]
+    for r in licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect():
+        expected = r["doc_id"].rsplit(" ", 1)[0]
+        assert r["licences"] == ("" if expected == "none" else expected), r["doc_id"]
