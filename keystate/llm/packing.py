@@ -5,8 +5,8 @@ from large to small, and sends each document to its successor, the smallest gap
 holds it and that no document before it has got: conflicts go by rank in that order.
 Then the gaps are updated, and the sweep is repeated with the documents left over.
 
-A sweep takes the documents over a fifth of the longest left (``BAND``), until all of
-them are placed. Before it, as many sequences are opened as those documents need that
+A sweep takes all documents but those of a hundredth of the longest left (``BAND``), until
+all of them are placed. Before it, as many sequences are opened as those documents need that
 no gap holds. A gap that can hold several of the longest offers a slot for each, so
 short documents do not need a sweep for each one that a gap takes.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 LENGTH, VOCABULARY, END = 2048, "byte_bpe_50k.json", 0
-#: A sweep takes the documents over 1 - 1/BAND of the longest left.
-BAND = 1.25
+#: A sweep takes the documents over 1 - 1/BAND of the longest left. Nearer to 1, sweeps are
+#: fewer; at 1.25 they are half as many again for one sequence in 500 less.
+BAND = 1.01
 #: Rows of a range partition of a sweep, about 40 bytes each.
 ROWS = 500_000
 _PIECES = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -51,18 +53,18 @@ def _cut(vocabulary: str, end: int, most: int, keep_ids: bool):
 
     def run(batches):
         cache = tokens.pieces(tokens.BytePieces, vocabulary)
-        tail = np.array([end], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, tokens.GROUP):
-                part = batch.slice(at, tokens.GROUP)
-                rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), cache.ids([t or "" for t in part.column("text").to_pylist()]), strict=True):
-                    ids += tail
+            for part in tokens.portions(batch):
+                ids, n = cache.column(part.column("text"))
+                ends = np.cumsum(n)
+                raw = memoryview(np.insert(ids, ends, end).astype("<u4").tobytes())
+                rows, at = [], 0
+                for doc_id, length in zip(part.column("doc_id").to_pylist(), (n + 1).tolist(), strict=True):
                     start = 0
-                    for piece, n in enumerate(cut_lengths(len(ids) // 4, most)):
-                        own = ids[4 * start : 4 * (start + n)]
-                        rows.append((doc_id, piece, start, n, zlib.crc32(own), own)[: len(names)])
-                        start += n
+                    for piece, size in enumerate(cut_lengths(length, most)):
+                        own = raw[4 * at : 4 * (at + size)]
+                        rows.append((doc_id, piece, start, size, zlib.crc32(own), bytes(own) if keep_ids else None)[: len(names)])
+                        start, at = start + size, at + size
                 columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), names, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -71,7 +73,8 @@ def _cut(vocabulary: str, end: int, most: int, keep_ids: bool):
 
 def _prefix(batches):
     """Sorted rows with the sum of brackets up to each in its partition, the least sum so
-    far, and whether the row is below all before it."""
+    far, and whether the row is below all before it. The last row, of no document or
+    gap, has what the partition hands on."""
     part, nth, total, least = TaskContext.get().partitionId(), 0, 0, None
     for batch in batches:
         if not batch.num_rows:
@@ -83,6 +86,10 @@ def _prefix(batches):
         nth, total, least = nth + len(sums), int(sums[-1]), int(mins[-1])
         columns = [*batch.columns, pa.array(np.full(len(sums), part, np.int32)), pa.array(at), pa.array(sums), pa.array(mins), pa.array(sums < before)]
         yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "part", "nth", "sum", "least", "low"])
+    if nth:
+        last = [[None], [None], [None], [None], [part], [nth], [total], [least], [None]]
+        kinds = [pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(last, kinds, strict=True)], names=["doc", "id", "k", "size", "part", "nth", "sum", "least", "low"])
 
 
 def _sweep(docs: DataFrame, gaps: DataFrame, n_docs: int, n_gaps: int, top: int) -> tuple[DataFrame, DataFrame]:
@@ -101,57 +108,48 @@ def _sweep(docs: DataFrame, gaps: DataFrame, n_docs: int, n_gaps: int, top: int)
     laid = common.stored(ranged.mapInArrow(_prefix, "doc boolean, id long, k int, size int, part int, nth long, sum long, least long, low boolean"), "sweep")
     # a row for each range partition: what the partitions before it hand on
     carry, total, least = [], 0, 0
-    for r in sorted(laid.groupBy("part").agg(F.max_by("sum", "nth").alias("sum"), F.min("least").alias("least")).collect()):
+    for r in sorted(laid.where("doc IS NULL").select("part", "sum", "least").collect()):
         carry.append((r["part"], total, least))
         total, least = total + r["sum"], min(least, total + r["least"])
     handed = F.broadcast(spark.createDataFrame(carry, "part int, s0 long, m0 long"))
     at = F.col("s0") + F.col("sum")
     left = F.col("doc") & F.col("low") & (at < F.col("m0"))
     depth = at - F.least(F.col("m0"), F.col("s0") + F.col("least"))
-    here = laid.join(handed, "part").withColumn("left", left).withColumn("depth", depth + F.col("doc").cast("int"))
+    here = laid.where("doc IS NOT NULL").join(handed, "part").withColumn("left", left).withColumn("depth", depth + F.col("doc").cast("int"))
     along = Window.partitionBy("depth").orderBy("part", "nth")
     met = here.where("NOT left").select("doc", "id", "size", F.lead("id").over(along).alias("pid"), F.lead("size").over(along).alias("got"))
     return common.stored(met.where("NOT doc").select(F.col("id").alias("seq"), "size", "pid", "got"), "slots"), here.where("left").select(F.col("id").alias("pid"), "size")
 
 
-def _by_size(docs: DataFrame, gaps: DataFrame | None = None) -> tuple[dict[int, int], dict[int, int]]:
-    """How many documents and gaps have each size: a row for each size."""
-    rows = docs.select(F.lit(True).alias("doc"), F.col("size").cast("int").alias("size"))
-    rows = rows if gaps is None else rows.unionByName(gaps.select(F.lit(False).alias("doc"), F.col("size").cast("int").alias("size")))
-    found = rows.groupBy("doc", "size").count().collect()
-    return tuple({r["size"]: r["count"] for r in found if r["doc"] == d} for d in (True, False))
-
-
 def place(docs: DataFrame, most: int) -> tuple[DataFrame | None, int]:
     """(pid, seq, size) of all docs (pid, size), and the number of sequences."""
     spark = docs.sparkSession
-    left, open_gaps, opened, done = _by_size(docs)[0], {}, 0, []
-    gaps = spark.createDataFrame([], "seq long, size int")
-    while left:
-        top = max(left)
+    none = spark.createDataFrame([], "seq long, size int")
+    left, parked, opened, done = docs, none, 0, []
+    while (top := left.agg(F.max("size")).first()[0]) is not None:
         floor = top - max(1, int(top / BAND))
-        band = docs.where((F.col("size") > floor) & (F.col("size") <= top))
-        waiting = {size: n for size, n in left.items() if size > floor}
-        left = {size: n for size, n in left.items() if size <= floor}
-        while waiting:
-            largest = max(open_gaps, default=0)
-            unfit = {size: n for size, n in waiting.items() if size > largest}
-            if unfit:
-                n = max(-(-sum(size * n for size, n in unfit.items()) // most), sum(n for size, n in unfit.items() if 2 * size > most))
+        band, left = left.where(F.col("size") > floor), left.where(F.col("size") <= floor)
+        gaps, small = parked.where(F.col("size") > floor), [parked.where(F.col("size") <= floor)]
+        while True:
+            open_gaps = gaps.agg(F.coalesce(F.max("size"), F.lit(0)).alias("largest"), F.count("*").alias("gaps"))
+            unfit = F.col("size") > F.col("largest")
+            facts = band.join(F.broadcast(open_gaps)).agg(F.count("*").alias("n"), F.max("gaps").alias("gaps"), F.sum(F.when(unfit, F.col("size"))).alias("unfit"), F.count(F.when(unfit & (2 * F.col("size") > most), 1)).alias("alone")).first()
+            if not facts["n"]:
+                break
+            n = max(-(-(facts["unfit"] or 0) // most), facts["alone"])
+            if n:
                 gaps = gaps.unionByName(spark.range(opened, opened + n, 1, max(1, math.ceil(n / ROWS))).select(F.col("id").alias("seq"), F.lit(most).alias("size")))
-                opened, open_gaps[most] = opened + n, open_gaps.get(most, 0) + n
-            eligible = sum(n for size, n in open_gaps.items() if size > floor)
-            slots, band = _sweep(band, gaps.where(F.col("size") > floor), sum(waiting.values()), eligible, top)
+                opened += n
+            slots, band = _sweep(band, gaps, facts["n"], facts["gaps"] + n, top)
             done.append(slots.where("pid IS NOT NULL").select("pid", "seq", F.col("got").alias("size")))
-            updated = slots.groupBy("seq").agg((F.sum("size") - F.coalesce(F.sum("got"), F.lit(0))).cast("int").alias("size")).where("size > 0")
-            gaps = common.stored(gaps.where(F.col("size") <= floor).unionByName(updated), "gaps")
-            waiting, open_gaps = _by_size(band, gaps)
-    if not done:
-        return None, 0
-    placed = done[0]
-    for more in done[1:]:
-        placed = placed.unionByName(more)
-    return placed, opened
+            if 2 * top > most:  # no gap had more than one slot
+                after = slots.select("seq", (F.col("size") - F.coalesce("got", F.lit(0))).alias("size"))
+            else:
+                after = common.stored(slots.groupBy("seq").agg((F.sum("size") - F.coalesce(F.sum("got"), F.lit(0))).cast("int").alias("size")), "gaps")
+            gaps = after.where(F.col("size") > floor)
+            small.append(after.where((F.col("size") > 0) & (F.col("size") <= floor)))
+        parked = common.stored(reduce(DataFrame.unionByName, small, gaps), "gaps")
+    return (reduce(DataFrame.unionByName, done), opened) if done else (None, 0)
 
 
 def pack(docs: DataFrame, most: int = LENGTH, vocabulary: str = VOCABULARY, end: int = END, keep_ids: bool = False) -> DataFrame:

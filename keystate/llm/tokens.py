@@ -99,6 +99,26 @@ class Pieces:
         return out
 
 
+    def gathered(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lists of pieces one after the other, and how many each list has: each different piece is looked up once."""
+        words = lists.flatten().dictionary_encode()
+        each, at = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+        spare = self.add(missing) if (missing := set(each).difference(self.known)) else []
+        coded = [self.known[w] for w in each]
+        for w in spare:
+            del self.known[w]
+        flat = np.frombuffer(b"".join(coded), "<u4")
+        n = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        starts = np.cumsum(n) - n
+        of_word = n[at]
+        ends = np.cumsum(of_word)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if max(total, len(flat)) < 1 << 30 else np.int64
+        ids = flat[np.arange(total, dtype=kind) + np.repeat((starts[at] - ends + of_word).astype(kind), of_word)]
+        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return ids, np.diff(bounds)
+
+
 def portions(batch: pa.RecordBatch, text: str = "text", most: int = AT_ONCE):
     """The batch in slices of about so many bytes of text."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
@@ -136,22 +156,7 @@ class WordPieces(Pieces):
         if not pc.any(pc.match_substring(texts, "<|")).as_py():
             texts = pc.ascii_lower(texts)
         lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, self.marks, r"\1 \2"))
-        words = lists.flatten().dictionary_encode()
-        each, at = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
-        spare = self.add(missing) if (missing := set(each).difference(self.known)) else []
-        coded = [self.known[w] for w in each]
-        for w in spare:
-            del self.known[w]
-        flat = np.frombuffer(b"".join(coded), "<u4")
-        n = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        starts = np.cumsum(n) - n
-        of_word = n[at]
-        ends = np.cumsum(of_word)
-        total = int(ends[-1]) if len(ends) else 0
-        kind = np.int32 if max(total, len(flat)) < 1 << 30 else np.int64
-        ids = flat[np.arange(total, dtype=kind) + np.repeat((starts[at] - ends + of_word).astype(kind), of_word)]
-        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        return ids, np.diff(bounds)
+        return self.gathered(lists)
 
     def parts(self, piece: str) -> list[str] | None:
         if not self.plain.fullmatch(piece) or "<|" in piece:
@@ -185,6 +190,22 @@ class BytePieces(Pieces):
         found.pop()
         return found if not self.other.search(text) else self.cuts.split(text)
 
+    #: Texts that are not cut at each blank and around each line end: where these meet, or there is other white space.
+    hard = r"^[ \n]|[ \n]$|[ \n][ \n]|[\x00-\x09\x0b-\x1f\x7f\x{85}\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has: ``ids`` by columns."""
+        texts = pc.fill_null(texts, "")
+        hard = pc.match_substring_regex(texts, self.hard)
+        some = pc.any(hard).as_py()
+        easy = texts.filter(pc.invert(hard)) if some else texts
+        lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(easy, " ", "\x01 "), "\n", "\x01\n\x01"), "\x01")
+        if some:  # both kinds again in the order of the texts
+            cut = pa.array([self.cut(t) for t in texts.filter(hard).to_pylist()], lists.type)
+            h = hard.to_numpy(zero_copy_only=False)
+            lists = pa.concat_arrays([lists, cut]).take(pa.array(np.where(h, len(easy) + np.cumsum(h) - 1, np.cumsum(~h) - 1)))
+        return self.gathered(lists)
+
     def parts(self, piece: str) -> list[str] | None:
         if not self.plain.fullmatch(piece) or "<|" in piece:
             return None
