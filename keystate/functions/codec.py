@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from ..schema import RUN_MAGIC
 
 
-def _turned(h: Column, size: int) -> Column:
-    """Hex digits with their bytes in opposite order; h is evaluated once."""
-    return F.regexp_replace(h, "(..)" * size, "".join(f"${i}" for i in range(size, 0, -1)))
+def _turned(x: Column) -> Column:
+    """An unsigned number of 4 bytes with its bytes in opposite order."""
+    low = F.lit(0xFF00)
+    return F.shiftleft(x.bitwiseAND(F.lit(0xFF)), 24).bitwiseOR(F.shiftleft(x.bitwiseAND(low), 8)).bitwiseOR(F.shiftright(x, 8).bitwiseAND(low)).bitwiseOR(F.shiftright(x, 24))
 
 
 def be(x: Column, size: int = 4) -> Column:
@@ -25,7 +26,11 @@ def be(x: Column, size: int = 4) -> Column:
 
 
 def le(x: Column, size: int = 4) -> Column:
-    return F.unhex(_turned(F.lpad(F.hex(x.cast("long")), 2 * size, "0"), size))
+    """The number in 4 bytes, or in 8: its low half, then its high half."""
+    x = x.cast("long")
+    if size == 4:
+        return be(_turned(x))
+    return F.concat(le(x.bitwiseAND(F.lit(0xFFFFFFFF))), le(F.shiftrightunsigned(x, 32)))
 
 
 def from_be(data: Column, pos: int | Column, size: int = 4) -> Column:
@@ -34,8 +39,9 @@ def from_be(data: Column, pos: int | Column, size: int = 4) -> Column:
 
 
 def from_le(data: Column, pos: int | Column, size: int = 4) -> Column:
-    h = F.hex(data.substr(F.lit(pos) if isinstance(pos, int) else pos, F.lit(size)))
-    return F.conv(_turned(h, size), 16, 10).cast("long")
+    if size == 4:
+        return _turned(from_be(data, pos))
+    return from_le(data, pos).bitwiseOR(F.shiftleft(from_le(data, pos + 4), 32))
 
 
 def _bytes(x: Column) -> Column:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..schema import BASE_LEVEL_BYTES, BLOCK_BYTES, DELETE, ENTRY_HEADER_BYTES, L0_TRIGGER, LEVEL_FACTOR, MAX_LEVELS, OUTPUT_BYTES, PUT
 from .folds import greedy_cuts
 
+#: Blocks of an index that are sent to all tasks, at most (some 50 bytes each).
+MOST_SENT = 200_000
+
 
 def flush(log: DataFrame, run: Column, level: Column) -> DataFrame:
     """A log cut into runs: one version of a key in each, tombstones kept."""
@@ -105,6 +108,34 @@ def block_index(rows: DataFrame, group: list[str], order: str, size: Column, lim
 
 
 def block_lookup(index: DataFrame, keys: DataFrame, group: list[str]) -> DataFrame:
-    """The block of each (group, key) that can hold it: the first whose last key is not below it."""
-    found = keys.join(index, group).where(F.col("last_key") >= F.col("key"))
-    return found.groupBy(*group, "key").agg(F.min("block").alias("block"))
+    """The block of each (group, key) that can hold it: the first whose last key is not
+    below it, or null past the last. Keys and last keys are of one type that has an order.
+
+    A block stands for thousands of bytes of rows. Up to ``MOST_SENT`` blocks, their last
+    keys are sent to all tasks and searched by halving; more are merged with the keys in
+    order, from high to low, where the last block met is the one.
+    """
+    asked = keys.select(*group, "key").distinct()
+    if index.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        ordered = F.array_sort(F.collect_list(F.struct("last_key", "block")))
+        lists = index.groupBy(*group).agg(ordered.alias("_blocks"))
+        # halving: how many last keys are below the key
+        found = asked.join(F.broadcast(lists), group, "left").withColumn("_lo", _below(F.col("_blocks"), F.col("key")))
+        return found.select(*group, "key", F.get(F.col("_blocks"), F.col("_lo"))["block"].alias("block"))
+    none = F.lit(None)
+    rows = asked.select(*group, "key", none.cast("long").alias("block")).unionByName(index.select(*group, F.col("last_key").alias("key"), "block"))
+    down = Window.partitionBy(*group).orderBy(F.col("key").desc(), F.col("block").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.withColumn("_met", F.last("block", ignorenulls=True).over(down))
+    return met.where("block IS NULL").select(*group, "key", F.col("_met").alias("block"))
+
+
+def _below(blocks: Column, key: Column, steps: int = 18) -> Column:
+    """How many last keys of the sorted blocks are below key, by halving (for up to 2**steps blocks)."""
+    at = F.struct(F.lit(0).alias("lo"), F.coalesce(F.size(blocks), F.lit(0)).alias("hi"))
+
+    def halved(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        up = (s["lo"] < s["hi"]) & (F.get(blocks, mid)["last_key"] < key)
+        return F.struct(F.when(up, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(up | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), at, halved)["lo"]

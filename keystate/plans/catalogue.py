@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,16 +102,17 @@ def replay_state(spark, d):
 # batches and scans
 
 _REQUESTS = (
-    "requests AS (SELECT o_orderkey AS pos, key FROM state WHERE o_orderkey % 7 = 0 UNION ALL SELECT 1000000000 + o_orderkey, key FROM state WHERE o_orderkey % 70 = 0"
-    " UNION ALL SELECT 2000000000 + o_orderkey, 'missing:' || o_orderkey FROM state WHERE o_orderkey % 50 = 0)"
+    "requests AS (SELECT o_orderkey AS pos, key FROM state UNION ALL SELECT 1000000000 + o_orderkey, key FROM state"
+    " UNION ALL SELECT 2000000000 + o_orderkey, 'missing:' || o_orderkey FROM state)"
 )
 
 
 def _requests(orders: DataFrame) -> DataFrame:
+    """Every key, every key again, and a miss for each."""
     k = F.col("o_orderkey")
-    found = orders.where(k % 7 == 0).select(k.alias("pos"), "key")
-    again = orders.where(k % 70 == 0).select((k + 1000000000).alias("pos"), "key")
-    misses = orders.where(k % 50 == 0).select((k + 2000000000).alias("pos"), F.concat(F.lit("missing:"), k.cast("string")).alias("key"))
+    found = orders.select(k.alias("pos"), "key")
+    again = orders.select((k + 1000000000).alias("pos"), "key")
+    misses = orders.select((k + 2000000000).alias("pos"), F.concat(F.lit("missing:"), k.cast("string")).alias("key"))
     return found.unionByName(again).unionByName(misses)
 
 
@@ -172,10 +171,14 @@ def _runs(spark, d) -> DataFrame:
     return runs.flush(events_log(spark, d), F.col("day"), level_of())
 
 
+def _sized_runs(spark, d) -> DataFrame:
+    """Runs whose values are the events' properties; tombstones have none."""
+    log = events_log(spark, d)
+    return runs.flush(log.withColumn("value", F.when(F.col("op") == 0, F.col("props"))), F.col("day"), level_of())
+
+
 def _stats(spark, d) -> DataFrame:
-    # values are doubles of 8 bytes here
-    fixed = _runs(spark, d).withColumn("value", F.lit("12345678"))
-    return runs.run_stats(fixed)
+    return runs.run_stats(_sized_runs(spark, d))
 
 
 @query(f"WITH {RUNS} SELECT run, level, key, event_id, op, value FROM runs")
@@ -247,13 +250,13 @@ def compaction_pick(spark, d):
 
 @query(
     f"WITH {STATS}, {_MERGED.replace('FROM runs', 'FROM runs WHERE level <= 1')} SELECT run, level, min_key, max_key, entries, tombstones, bytes FROM stats WHERE level = 2"
-    " UNION ALL SELECT 100, 1, min(key), max(key), count(*), sum(op)::BIGINT, sum(9 + strlen(key::VARCHAR) + 8)::BIGINT FROM merged"
+    " UNION ALL SELECT 100, 1, min(key), max(key), count(*), sum(op)::BIGINT, sum(9 + strlen(key::VARCHAR) + CASE WHEN op = 0 THEN coalesce(strlen(props), 0) ELSE 0 END)::BIGINT FROM merged"
 )
 def manifest_apply(spark, d):
-    every, manifest = _runs(spark, d), _stats(spark, d)
+    every, manifest = _sized_runs(spark, d), _stats(spark, d)
     picked = runs.pick_compaction(manifest)
     merged = runs.compact(every.join(picked.select("run"), "run", "left_semi"), bottom=False)
-    output = runs.run_stats(merged.select(F.lit(100).alias("run"), F.lit(1).alias("level"), "key", "seq", "op", F.lit("12345678").alias("value")))
+    output = runs.run_stats(merged.select(F.lit(100).alias("run"), F.lit(1).alias("level"), "key", "seq", "op", "value"))
     return runs.apply_compaction(manifest, picked, output)
 
 
@@ -296,10 +299,14 @@ def block_index(spark, d):
     return runs.block_index(_doc_entries(spark, d), ["lang"], "doc_id", F.col("size"))
 
 
-@query(f"WITH RECURSIVE {_BLOCKS} SELECT k.lang, k.doc_id AS key, min(b.block) AS block FROM (SELECT lang, doc_id FROM documents WHERE doc_id % 10 = 3) k JOIN b ON b.lang = k.lang AND b.last_key >= k.doc_id GROUP BY ALL")
+@query(
+    f"WITH RECURSIVE {_BLOCKS}, k AS (SELECT lang, doc_id AS key FROM documents UNION SELECT lang, doc_id + 1 FROM documents)"
+    " SELECT k.lang, k.key, min(b.block) AS block FROM k LEFT JOIN b ON b.lang = k.lang AND b.last_key >= k.key GROUP BY ALL"
+)
 def block_lookup(spark, d):
+    """Every key and the one after it, which is mostly another language's."""
     docs = _doc_entries(spark, d)
-    asked = docs.where("doc_id % 10 = 3").select("lang", F.col("doc_id").alias("key"))
+    asked = docs.select("lang", F.col("doc_id").alias("key")).unionByName(docs.select("lang", (F.col("doc_id") + 1).alias("key")))
     return runs.block_lookup(runs.block_index(docs, ["lang"], "doc_id", F.col("size")), asked, ["lang"])
 
 
@@ -392,43 +399,44 @@ def ring_replicas(spark, d):
 # codecs
 
 
-def _nation(spark, d) -> DataFrame:
-    n = table(spark, d, "nation")
-    return n.select("n_nationkey", F.col("n_name").alias("key"), F.concat("n_name", F.lit("/"), "n_name").alias("value"), (F.col("n_nationkey") % 4 == 3).alias("tombstone"))
+def _customers(spark, d) -> DataFrame:
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", F.col("c_name").alias("key"), F.concat("c_name", F.lit("/"), "c_mktsegment").alias("value"), (F.col("c_custkey") % 4 == 3).alias("tombstone"))
 
 
 _BODY = (
-    "n AS (SELECT n_nationkey, n_name AS key, n_name || '/' || n_name AS value, n_nationkey % 4 = 3 AS tombstone FROM nation), "
+    "n AS (SELECT c_custkey, c_name AS key, c_name || '/' || c_mktsegment AS value, c_custkey % 4 = 3 AS tombstone FROM customer), "
     f"body AS (SELECT *, (CASE WHEN tombstone THEN '01' ELSE '00' END) || {_le_sql('strlen(key)', 4)} || {_le_sql('strlen(value)', 4)} || hex(key::BLOB) || hex(value::BLOB) AS b FROM n)"
 )
 _RECORD = f"{CRC}, {_BODY}, rec AS (SELECT *, {crc_sql(bytes_sql('b'))} AS c FROM body, crc_table)"
 
 
-@query(f"WITH {_RECORD} SELECT n_nationkey, {_le_sql('c', 4)} || b AS record FROM rec")
+@query(f"WITH {_RECORD} SELECT c_custkey, {_le_sql('c', 4)} || b AS record FROM rec")
 def wal_encode(spark, d):
-    return _nation(spark, d).select("n_nationkey", F.hex(codec.log_record(F.col("key"), F.col("value"), F.col("tombstone"))).alias("record"))
+    return _customers(spark, d).select("c_custkey", F.hex(codec.log_record(F.col("key"), F.col("value"), F.col("tombstone"))).alias("record"))
 
 
-@query(f"WITH {_BODY} SELECT n_nationkey, true AS ok, tombstone, key, value FROM n")
+@query(f"WITH {_BODY} SELECT c_custkey, true AS ok, tombstone, key, value FROM n")
 def wal_roundtrip(spark, d):
-    raw = _nation(spark, d).select("n_nationkey", codec.log_record(F.col("key"), F.col("value"), F.col("tombstone")).alias("record"))
-    return raw.select("n_nationkey", codec.decode_log_record(F.col("record")).alias("r")).select("n_nationkey", "r.ok", "r.tombstone", F.col("r.key").cast("string").alias("key"), F.col("r.value").cast("string").alias("value"))
+    raw = _customers(spark, d).select("c_custkey", codec.log_record(F.col("key"), F.col("value"), F.col("tombstone")).alias("record"))
+    return raw.select("c_custkey", codec.decode_log_record(F.col("record")).alias("r")).select("c_custkey", "r.ok", "r.tombstone", F.col("r.key").cast("string").alias("key"), F.col("r.value").cast("string").alias("value"))
 
 
-@query(f"WITH {_BODY} SELECT n_nationkey, key FROM n WHERE n_nationkey < 17")
+@query(f"WITH {_BODY} SELECT c_custkey, key FROM n WHERE c_custkey < (SELECT max(c_custkey) - 17 FROM n)")
 def wal_torn_tail(spark, d):
-    """Record 17 has a wrong bit: what comes before it is read, nothing after."""
-    n = _nation(spark, d).withColumn("record", codec.log_record(F.col("key"), F.col("value"), F.col("tombstone")))
+    """The record 17 before the last is damaged: what comes before it is read, nothing after."""
+    last = table(spark, d, "customer").agg((F.max("c_custkey") - 17).alias("damaged"))
+    n = _customers(spark, d).join(F.broadcast(last)).withColumn("record", codec.log_record(F.col("key"), F.col("value"), F.col("tombstone")))
     damaged = F.concat(F.col("record").substr(F.lit(1), F.octet_length("record") - 1), F.lit(b"\x00"))
-    n = n.withColumn("stored", F.when(F.col("n_nationkey") == 17, damaged).otherwise(F.col("record")))
-    read = n.select("n_nationkey", codec.decode_log_record(F.col("stored")).alias("r"))
-    first_bad = read.where("NOT r.ok").agg(F.min("n_nationkey").alias("stop"))
-    return read.join(F.broadcast(first_bad)).where("stop IS NULL OR n_nationkey < stop").select("n_nationkey", F.col("r.key").cast("string").alias("key"))
+    n = n.withColumn("stored", F.when(F.col("c_custkey") == F.col("damaged"), damaged).otherwise(F.col("record")))
+    read = n.select("c_custkey", codec.decode_log_record(F.col("stored")).alias("r"))
+    first_bad = read.where("NOT r.ok").agg(F.min("c_custkey").alias("stop"))
+    return read.join(F.broadcast(first_bad)).where("stop IS NULL OR c_custkey < stop").select("c_custkey", F.col("r.key").cast("string").alias("key"))
 
 
-@query(f"WITH {_BODY} SELECT n_nationkey, b AS entry FROM body")
+@query(f"WITH {_BODY} SELECT c_custkey, b AS entry FROM body")
 def sst_entry_encode(spark, d):
-    return _nation(spark, d).select("n_nationkey", F.hex(codec.run_entry(F.col("key"), F.col("value"), F.col("tombstone"))).alias("entry"))
+    return _customers(spark, d).select("c_custkey", F.hex(codec.run_entry(F.col("key"), F.col("value"), F.col("tombstone"))).alias("entry"))
 
 
 def _be_sql(x: str) -> str:
@@ -436,17 +444,22 @@ def _be_sql(x: str) -> str:
 
 
 @query(
-    f"WITH {_BODY} SELECT n_nationkey, (CASE WHEN tombstone THEN '01' ELSE '00' END) || {_be_sql('strlen(key)')} || hex(key::BLOB) || {_be_sql('strlen(value)')} || hex(value::BLOB) AS command, NULL::VARCHAR AS error, tombstone::INT AS op, key, value FROM n"
+    f"WITH {_BODY} SELECT c_custkey, (CASE WHEN tombstone THEN '01' ELSE '00' END) || {_be_sql('strlen(key)')} || hex(key::BLOB) || {_be_sql('strlen(value)')} || hex(value::BLOB) AS command, NULL::VARCHAR AS error, tombstone::INT AS op, key, value FROM n"
 )
 def command_roundtrip(spark, d):
-    raw = _nation(spark, d).select("n_nationkey", codec.command(F.col("tombstone").cast("int"), F.col("key"), F.col("value")).alias("c"))
-    read = raw.select("n_nationkey", F.hex("c").alias("command"), codec.decode_command(F.col("c")).alias("r"))
-    return read.select("n_nationkey", "command", F.col("r.error").cast("string").alias("error"), "r.op", F.col("r.key").cast("string").alias("key"), F.col("r.value").cast("string").alias("value"))
+    raw = _customers(spark, d).select("c_custkey", codec.command(F.col("tombstone").cast("int"), F.col("key"), F.col("value")).alias("c"))
+    read = raw.select("c_custkey", F.hex("c").alias("command"), codec.decode_command(F.col("c")).alias("r"))
+    return read.select("c_custkey", "command", F.col("r.error").cast("string").alias("error"), "r.op", F.col("r.key").cast("string").alias("key"), F.col("r.value").cast("string").alias("value"))
 
 
 # replicated logs
 
 
+def _before_end(log: DataFrame, n: int) -> int:
+    """The index n entries before the last."""
+    return replog.tail(log).first()["last_index"] - n
+
+
 @query(f"WITH {LOG}, z AS (SELECT max(index) AS n FROM rlog) SELECT index, term, key, op, value FROM rlog UNION ALL SELECT n + 1 + n_nationkey, 99, n_nationkey::BIGINT, 0, 1.5 FROM nation, z")
 def log_append(spark, d):
     new = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_nationkey").cast("long").alias("key"), F.lit(0).alias("op"), F.lit(1.5).alias("value"))
@@ -465,9 +478,11 @@ def log_pending(spark, d):
     return replog.pending(log, peers)
 
 
-@query(f"WITH {LOG} SELECT key, index, value FROM (SELECT * FROM rlog WHERE index <= 1200 QUALIFY row_number() OVER (PARTITION BY key ORDER BY index DESC) = 1) WHERE op = 0")
+@query(f"WITH {LOG} SELECT key, index, value FROM (SELECT * FROM rlog WHERE index <= (SELECT max(index) - 300 FROM rlog) QUALIFY row_number() OVER (PARTITION BY key ORDER BY index DESC) = 1) WHERE op = 0")
 def log_apply(spark, d):
-    return replog.apply(orders_log(spark, d), F.lit(1200))
+    """All but the last 300 entries are committed."""
+    log = orders_log(spark, d)
+    return replog.apply(log, F.lit(_before_end(log, 300)))
 
 
 @query(f"WITH {LOG} SELECT count(*) > 1000 AS due, count(*) AS entries FROM rlog")
@@ -476,11 +491,12 @@ def log_should_snapshot(spark, d):
 
 
 @query(
-    f"WITH {LOG}, s AS (SELECT key, index, value FROM (SELECT * FROM rlog WHERE index <= 1000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY index DESC) = 1) WHERE op = 0)"
-    " SELECT 'state' AS part, key, index, value FROM s UNION ALL SELECT 'log', key, index, value FROM rlog WHERE index >= 1000"
+    f"WITH {LOG}, s AS (SELECT key, index, value FROM (SELECT * FROM rlog WHERE index <= (SELECT max(index) - 500 FROM rlog) QUALIFY row_number() OVER (PARTITION BY key ORDER BY index DESC) = 1) WHERE op = 0)"
+    " SELECT 'state' AS part, key, index, value FROM s UNION ALL SELECT 'log', key, index, value FROM rlog WHERE index >= (SELECT max(index) - 500 FROM rlog)"
 )
 def log_snapshot(spark, d):
-    kept, rest = replog.snapshot(orders_log(spark, d), 1000)
+    log = orders_log(spark, d)
+    kept, rest = replog.snapshot(log, _before_end(log, 500))
     cols = ["key", "index", "value"]
     return kept.select(F.lit("state").alias("part"), *cols).unionByName(rest.select(F.lit("log").alias("part"), *cols))
 
@@ -488,7 +504,8 @@ def log_snapshot(spark, d):
 @query(f"WITH {LOG} SELECT key, index, value FROM (SELECT * FROM rlog QUALIFY row_number() OVER (PARTITION BY key ORDER BY index DESC) = 1) WHERE op = 0")
 def snapshot_plus_tail(spark, d):
     log = orders_log(spark, d)
-    return replog.restore(replog.apply(log, F.lit(1000)), log, 1000)
+    at = _before_end(log, 500)
+    return replog.restore(replog.apply(log, F.lit(at)), log, at)
 
 
 @query(
@@ -503,15 +520,16 @@ def log_prev_check(spark, d):
 
 
 @query(
-    f"WITH {LOG}, own AS (SELECT index, CASE WHEN index >= 901 THEN 1 ELSE term END AS term FROM rlog WHERE index <= 1000), sent AS (SELECT index, term FROM rlog WHERE index BETWEEN 801 AND 1100)"
+    f"WITH {LOG}, e AS (SELECT max(index) AS n FROM rlog), own AS (SELECT index, CASE WHEN index > n - 600 THEN 1 ELSE term END AS term FROM rlog, e WHERE index <= n - 500), sent AS (SELECT index, term FROM rlog, e WHERE index BETWEEN n - 700 AND n - 400)"
     " SELECT index, term FROM own WHERE index < (SELECT min(o.index) FROM own o JOIN sent s USING (index) WHERE o.term <> s.term) UNION ALL SELECT index, term FROM sent"
     " WHERE index >= (SELECT min(o.index) FROM own o JOIN sent s USING (index) WHERE o.term <> s.term)"
 )
 def log_conflict_truncate(spark, d):
-    """A follower with 100 entries of an old term at its end gets entries 801 to 1100."""
+    """A follower that ends 500 entries before the leader, with 100 of an old term at its end, gets the 300 around them."""
     log = orders_log(spark, d).select("index", "term")
-    own = log.where("index <= 1000").withColumn("term", F.when(F.col("index") >= 901, 1).otherwise(F.col("term")))
-    return replog.accept(own, log.where("index BETWEEN 801 AND 1100"))
+    n = _before_end(log, 0)
+    own = log.where(F.col("index") <= n - 500).withColumn("term", F.when(F.col("index") > n - 600, 1).otherwise(F.col("term")))
+    return replog.accept(own, log.where(F.col("index").between(n - 700, n - 400)))
 
 
 _MATCH = "m AS (SELECT key % 5 AS peer, max(index) AS match_index FROM rlog GROUP BY peer)"
@@ -574,7 +592,5 @@ def stream_latest(spark, d):
     schema = spark.read.parquet(path).schema
     raw = stream.read_changes(spark, path if spark.read.parquet(path).inputFiles()[0].rstrip("/").rsplit("/", 2)[-2] == "events.parquet" else f"{d}/event[s].parquet", schema)
     log = raw.select(F.col("user_id").alias("key"), F.struct(F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id").alias("seq"), (F.col("event_type") == "error").cast("int").alias("op"), "value", "event_id")
-    name = "stream_latest_" + tempfile.mktemp(dir="").strip("/").replace("-", "_")
-    q = stream.latest_updates(log, ("event_id",)).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.settled(spark.table(name).select("key", "seq", "op", "value")).select("key", "seq.event_id", "value")
+    updates = stream.updates_on_files(stream.latest_updates(log, ("event_id",)).select("key", "seq", "op", "value"))
+    return stream.settled(updates).select("key", "seq.event_id", "value")

@@ -35,12 +35,12 @@ def level_of(day="day"):
 
 
 RUNS = EVENTS + (
-    ", runs AS (SELECT day AS run, CASE WHEN day >= 27 THEN 0 WHEN day >= 21 THEN 1 ELSE 2 END AS level, key, ts, event_id, op, value FROM log"
+    ", runs AS (SELECT day AS run, CASE WHEN day >= 27 THEN 0 WHEN day >= 21 THEN 1 ELSE 2 END AS level, key, ts, event_id, op, value, props FROM log"
     " QUALIFY row_number() OVER (PARTITION BY day, key ORDER BY ts DESC, event_id DESC) = 1)"
 )
 STATS = RUNS + (
     ", stats AS (SELECT run, level, min(key) AS min_key, max(key) AS max_key, count(*) AS entries, sum(op)::BIGINT AS tombstones,"
-    " sum(9 + strlen(key::VARCHAR) + 8)::BIGINT AS bytes FROM runs GROUP BY run, level)"
+    " sum(9 + strlen(key::VARCHAR) + CASE WHEN op = 0 THEN coalesce(strlen(props), 0) ELSE 0 END)::BIGINT AS bytes FROM runs GROUP BY run, level)"
 )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,6 +26,26 @@ def latest_updates(changes: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame
     return latest_version(changes, extra)
 
 
+def updates_on_files(updates: DataFrame) -> DataFrame:
+    """All updates that a stream puts out over what is there now, written by the tasks and
+    read back; none goes to the driver. The folder is in ``spark.checkpoint.dir``, or of
+    this machine in a local session."""
+    spark = updates.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="keystate-")
+    path = f"{folder.rstrip('/')}/keystate-stream-{uuid.uuid4().hex}"
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")  # one that is run again replaces its files
+
+    spark.createDataFrame([], updates.schema).write.parquet(f"{path}/out/batch=-1")  # a stream may put out nothing
+    updates.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(updates.schema).parquet(f"{path}/out")
+
+
 def settled(updates: DataFrame) -> DataFrame:
     """The visible state of all updates put out so far: the last one of a key decides."""
     return latest_version(updates).where(F.col("op") == PUT)
