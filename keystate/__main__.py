@@ -25,7 +25,7 @@ def run(store: KeyState, command: str, args: list[str]) -> list[str]:
     elif command == "batch-put":
         store.batch_put([tuple(a.split(b"=", 1)) for a in raw])
     elif command == "scan":
-        rows = store.scan(raw[0] if raw else None, raw[1] if len(raw) > 1 else None, int(args[2]) if len(args) > 2 else 100)
+        rows = store.scan(raw[0] if raw else None, raw[1] if len(raw) > 1 else None, int(args[2]) if len(args) > 2 else 0)
         return [f"{bytes(r['key']).decode(errors='replace')}\t{bytes(r['value'] or b'').decode(errors='replace')}" for r in rows.toLocalIterator()]
     elif command == "flush":
         store.flush()

@@ -13,6 +13,10 @@ from ..schema import DELETE, PUT, SNAPSHOT_ENTRIES, NotLeaderError
 from .state import visible_state
 
 
+#: Nodes of a cluster that a log is compared with at once, at most.
+MOST_PEERS = 10_000
+
+
 def majority(n: int) -> int:
     return n // 2 + 1
 
@@ -33,8 +37,13 @@ def tail(log: DataFrame) -> DataFrame:
 
 
 def pending(log: DataFrame, next_index: DataFrame) -> DataFrame:
-    """(peer, index, term): entries that each peer (peer, next_index) is still to get."""
-    return next_index.join(log.select("index", "term"), F.col("index") >= F.col("next_index")).select("peer", "index", "term")
+    """(peer, index, term): entries that each peer (peer, next_index) is still to get.
+
+    Peers are sent to all tasks, so there may be ``MOST_PEERS`` at most; more is an error.
+    """
+    if next_index.limit(MOST_PEERS + 1).count() > MOST_PEERS:
+        raise ValueError(f"more than {MOST_PEERS} peers")
+    return F.broadcast(next_index).join(log.select("index", "term"), F.col("index") >= F.col("next_index")).select("peer", "index", "term")
 
 
 def previous_matches(log: DataFrame, requests: DataFrame) -> DataFrame:
@@ -100,14 +109,17 @@ def apply(log: DataFrame, upto: Column) -> DataFrame:
     """The state after applying the entries up to an index, in order: (key, index, value).
 
     The log has decoded commands: key, op, value. The last command of a key decides, so
-    order needs no sequential pass.
+    order needs no sequential pass. A command of an unknown type is an error.
     """
-    changes = log.where(F.col("index") <= upto).select("key", F.col("index").alias("seq"), "op", "value")
+    changes = log.where(F.col("index") <= upto).select("key", F.col("index").alias("seq"), _known_op().alias("op"), "value")
     return visible_state(changes).select("key", F.col("seq").alias("index"), "value")
 
 
-def known_commands(log: DataFrame) -> Column:
-    return F.col("op").isin(PUT, DELETE)
+def _known_op() -> Column:
+    """op as an int; a type that is neither put nor delete is an error."""
+    op = F.col("op").cast("int")
+    wrong = F.raise_error(F.concat(F.lit("unknown command type "), F.coalesce(op.cast("string"), F.lit("null")))).cast("int")
+    return F.when(op.isin(PUT, DELETE), op).otherwise(wrong)
 
 
 def snapshot(log: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
@@ -117,8 +129,8 @@ def snapshot(log: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
 
 def restore(state: DataFrame, log: DataFrame, at: int) -> DataFrame:
     """A snapshot at an index with the later log on top: what applying the whole log gives."""
-    base = state.select("key", F.col("index").alias("seq"), F.lit(PUT).cast("byte").alias("op"), "value")
-    later = log.where(F.col("index") > at).select("key", F.col("index").alias("seq"), F.col("op").cast("byte").alias("op"), "value")
+    base = state.select("key", F.col("index").alias("seq"), F.lit(PUT).alias("op"), "value")
+    later = log.where(F.col("index") > at).select("key", F.col("index").alias("seq"), _known_op().alias("op"), "value")
     return visible_state(base.unionByName(later)).select("key", F.col("seq").alias("index"), "value")
 
 

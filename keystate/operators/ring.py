@@ -93,10 +93,12 @@ def route(keys: DataFrame, ring: Ring, key: str = "key", replicas: int = REPLICA
     """keys with ``hash``, ``node`` and ``replicas``; node "" and no replicas on an empty ring.
 
     Intervals are listed under every leading-bits bucket that they meet, so routing is
-    an equi-join on the bucket with the interval as a residual condition.
+    an equi-join on the bucket with the interval as a residual condition. A null key is
+    an error: it has no place.
     """
     spark = keys.sparkSession
-    hashed = keys.withColumn("hash", F.crc32(F.col(key).cast("binary")))
+    placed = F.when(F.col(key).isNull(), F.raise_error(F.lit("key cannot be null")).cast("binary")).otherwise(F.col(key).cast("binary"))
+    hashed = keys.withColumn("hash", F.crc32(placed))
     intervals = ring.intervals(replicas)
     if not intervals:
         return hashed.withColumn("node", F.lit("")).withColumn("replicas", F.array().cast("array<string>"))

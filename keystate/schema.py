@@ -17,18 +17,6 @@ CHANGE = T.StructType(
 )
 #: A replicated log: index is dense from 1, command is an encoded put or delete.
 LOG_ENTRY = T.StructType([T.StructField("index", T.LongType(), False), T.StructField("term", T.LongType(), False), T.StructField("command", T.BinaryType(), True)])
-#: A sorted run: where it is and what it spans.
-RUN = T.StructType(
-    [
-        T.StructField("run_id", T.LongType(), False),
-        T.StructField("level", T.IntegerType(), False),
-        T.StructField("min_key", T.BinaryType(), True),
-        T.StructField("max_key", T.BinaryType(), True),
-        T.StructField("entries", T.LongType(), False),
-        T.StructField("bytes", T.LongType(), False),
-        T.StructField("path", T.StringType(), False),
-    ]
-)
 
 # Limits of the storage rules.
 MAX_LEVELS = 7

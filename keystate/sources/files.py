@@ -133,19 +133,24 @@ def read_run_files(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, parse_run)
 
 
-def write_files(rows: DataFrame, folder: str, kind: str, name: str = "name") -> DataFrame:
-    """Write rows (name, key, value, tombstone, in the wanted order within a name) as one
-    file for each name; returns (file, bytes) once all are written. kind: "log" or "run".
+def write_files(rows: DataFrame, folder: str, kind: str, name: str = "name", order: str | None = None) -> DataFrame:
+    """Write rows (name, key, value, tombstone) as one file for each name; returns (file,
+    bytes) once all are written. kind: "log" or "run". A run is in key order; a log in
+    the order of a column, which must be named.
 
     A file is built in memory by one task, as run and log files are some 64 MiB.
     """
     image = {"log": log_image, "run": run_image}[kind]
+    by = "key" if kind == "run" else order
+    if not by:
+        raise ValueError("a log needs a column that orders it")
 
     def run(key, table):
         from pyarrow import fs
 
         target = f"{folder.rstrip('/')}/{key[0].as_py()}"
         store, path = fs.FileSystem.from_uri(target) if ":" in target else (fs.LocalFileSystem(), target)
+        table = table.sort_by(by)  # groups arrive in no order
         data = image(zip(*(table.column(c).to_pylist() for c in ("key", "value", "tombstone")), strict=True))
         store.create_dir(path.rsplit("/", 1)[0], recursive=True)
         with store.open_output_stream(path + ".part") as out:
@@ -153,5 +158,5 @@ def write_files(rows: DataFrame, folder: str, kind: str, name: str = "name") ->
         store.move(path + ".part", path)
         return pa.table({"file": [target], "bytes": [len(data)]})
 
-    done = rows.select(name, "key", "value", "tombstone").groupBy(name).applyInArrow(run, "file string, bytes long")
+    done = rows.select(*dict.fromkeys([name, "key", "value", "tombstone", by])).groupBy(name).applyInArrow(run, "file string, bytes long")
     return rows.sparkSession.createDataFrame(done.collect(), "file string, bytes long")

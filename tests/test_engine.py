@@ -62,7 +62,7 @@ def test_binary_files(spark, tmp_path):
     df = spark.createDataFrame(items, "name string, key binary, value binary, tombstone boolean")
     for kind, read in (("log", files.read_log_files), ("run", files.read_run_files)):
         folder = str(tmp_path / kind)
-        assert files.write_files(df.orderBy("key"), folder, kind).count() == 2
+        assert files.write_files(df, folder, kind, order="key").count() == 2
         got = sorted((r["file"].rsplit("/", 1)[-1], bytes(r["key"]), bytes(r["value"]), r["tombstone"]) for r in read(spark, folder).collect())
         assert got == sorted(items)
     image = (tmp_path / "run" / "one").read_bytes()
