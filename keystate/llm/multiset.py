@@ -1,20 +1,22 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs (DataFrame operations only).
 
-A paragraph is a line of the text. It is hashed to a wide vector: a dense head of 8
-lanes of 32 bits from its SHA-256 and a lane that counts its sentences, and a sparse
-body in which each of its sentences sets one lane of 16 bits. The fingerprint of a text
-is the sum of its paragraphs' vectors, lane by lane, modulo 2**32 in the head and 2**16
-in the body. So the order of paragraphs has no part in it, adding or removing a
-paragraph adds or subtracts its vector, and equal texts have equal fingerprints.
-
-The head decides equality. The body estimates what two texts share: it has four strata
-of 64 lanes, a sentence goes to the first, second, ... with probability 3/4, 3/16, ... by
-its hash, and strata that the longer text would crowd are left out of the estimate.
-Texts that would crowd the fourth are compared by further strata that divide it
-(``deeper``), so many that no text can crowd the last. They are no part of the
-fingerprint as text, and are worked out only for pairs with such a text.
-
-As text, a fingerprint is 9 * 8 and 256 * 4 lowercase hex digits.
+A paragraph is a line of the text. It is hashed to a wide vector: a head of 8 lanes of
+32 bits from its SHA-256, and a body of 256 lanes of 24 bits, in which each chunk of its
+sentences (of up to 64 characters) adds 1 to one lane or takes 1 from it, as the chunk's
+MD5 says. The fingerprint of a text is the sum of its paragraphs' vectors, lane by lane,
+modulo 2**32 in the head and 2**24 in the body. So the order of paragraphs has no part in
+it, adding or removing a paragraph adds or subtracts its vector, and equal texts have
+equal fingerprints.
+
+The head decides equality. The body is a random projection of the counts of chunks: the
+cosine of two bodies (of their lanes' signed roots, which dampen repeats) follows that of
+the counts, with a noise of about 0.06 at any length. Texts that share nothing get about
+0, texts that share three quarters of their chunks about 0.75.
+
+An edited text's vector is worked out from the text's: the lines that stay, and the
+difference of what goes and what comes.
+
+As text, a fingerprint is 8 * 8 and 256 * 6 lowercase hex digits.
 """
 
 from __future__ import annotations
@@ -24,130 +26,99 @@ from pyspark.sql import functions as F
 
 from . import common
 
-HEAD, STRATA, LANES = 9, 4, 64
-BODY = STRATA * LANES
-#: Strata that divide the last one: a string of 2**31 bytes leaves some 8 sentences to the last of them.
-DEEPER = 11
-#: A stratum counts where the longer text has at most so many sentences in it and the further ones.
-CROWD = 40
-#: Rows of a slice in which each document meets the next one.
-SLICE_ROWS = 4096
+HEAD, BODY, CHUNK = 8, 256, 64
+HEAD_MOD, BODY_MOD = 2**32, 2**24
+#: Rows of a slice in which each document meets the next one, and slices at most.
+SLICE_ROWS, SLICES = 4096, 10_000
 
 
 def _number(hex_digits: Column) -> Column:
     return F.conv(hex_digits, 16, 10).cast("long")
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), with the value worked out once: lambda bodies else repeat it at each use and element."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def vector(text: Column) -> Column:
-    """array<bigint> of HEAD + BODY lanes: the sum of the paragraphs' vectors."""
-    paragraphs = F.split(text, "\n", -1)
-    hashes = F.transform(paragraphs, lambda p: F.sha2(p, 256))
-    sentences = F.transform(F.flatten(F.transform(paragraphs, lambda p: F.split(p, "\\. ", -1))), lambda x: F.sha2(x, 256))
+    """array<bigint> of HEAD + BODY lanes: the sum of the paragraphs' vectors; zeros for null, which has no paragraph."""
+
+    def head(hashes: Column) -> Column:
+        sums = [F.aggregate(hashes, F.lit(0).cast("long"), _adding(1 + 8 * i)) for i in range(HEAD)]
+        return F.array(*[F.pmod(x, F.lit(HEAD_MOD)) for x in sums])
 
-    def summed(i: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + _number(F.substring(h, 1 + 8 * i, 8)))
+    def group(items: Column, g: Column) -> Column:
+        """16 lanes, from the items that fall to them."""
+        lane = lambda own: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + F.when(F.shiftright(x, 1) % 16 == i, 1 - 2 * (x % 2)).otherwise(0)))
+        return _let(F.filter(items, lambda x: F.shiftright(x, 5) == g), lane)
 
-    head = [*[summed(i) for i in range(HEAD - 1)], F.size(sentences).cast("long")]
+    def body(items: Column) -> Column:
+        lanes = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BODY // 16 - 1)), lambda g: group(items, g)))
+        return F.transform(lanes, lambda v: F.pmod(v, F.lit(BODY_MOD)))
 
-    def item(h: Column) -> Column:
-        """The sentence's lane (from its hash's first four digits the stratum, from the next two the lane) and value."""
-        depth = _number(F.substring(h, 1, 4))
-        stratum = F.when(depth >= 2**14, 0).when(depth >= 2**12, 1).when(depth >= 2**10, 2).otherwise(3)
-        return F.struct((stratum * LANES + _number(F.substring(h, 5, 2)) % LANES).cast("int").alias("lane"), _number(F.substring(h, 61, 4)).alias("value"))
+    def sums(paragraphs: Column) -> Column:
+        sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(p, "\\. ", -1)))
+        chunks = F.flatten(F.transform(sentences, lambda x: F.regexp_extract_all(x, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+        # of 512 numbers, twice the lane, and one more if the chunk takes 1 from it
+        items = F.transform(chunks, lambda c: F.conv(F.substring(F.md5(c), 1, 3), 16, 10).cast("int") % (2 * BODY))
+        return F.concat(_let(F.transform(paragraphs, lambda p: F.sha2(p, 256)), head), _let(items, body))
 
-    def add(a: Column, p: Column) -> Column:
-        return F.concat(F.slice(a, 1, p["lane"]), F.array(F.element_at(a, p["lane"] + 1) + p["value"]), F.slice(a, p["lane"] + 2, F.lit(BODY)))
+    return F.when(text.isNull(), F.array_repeat(F.lit(0).cast("long"), HEAD + BODY)).otherwise(_let(F.split(text, "\n", -1), sums))
 
-    body = F.aggregate(F.transform(sentences, item), F.array_repeat(F.lit(0).cast("long"), BODY), add)
-    return F.concat(F.array(*[F.pmod(x, F.lit(2**32)) for x in head]), F.transform(body, lambda v: F.pmod(v, F.lit(2**16))))
+
+def _adding(at: int):
+    return lambda a, h: a + _number(F.substring(h, at, 8))
 
 
 def fingerprint(lanes: Column) -> Column:
     """A vector as text."""
-    digits = F.transform(lanes, lambda v, i: F.lower(F.when(i < HEAD, F.lpad(F.hex(v), 8, "0")).otherwise(F.lpad(F.hex(v), 4, "0"))))
+    digits = F.transform(lanes, lambda v, i: F.lower(F.when(i < HEAD, F.lpad(F.hex(v), 8, "0")).otherwise(F.lpad(F.hex(v), 6, "0"))))
     return F.array_join(digits, "")
 
 
 def combined(a: Column, b: Column, sign: int = 1) -> Column:
     """The vector of the two texts' paragraphs together (or, with -1, of a's without b's)."""
-    return F.zip_with(F.transform(a, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), b, lambda x, y: F.pmod(x["v"] + sign * y, F.when(x["i"] < HEAD, F.lit(2**32)).otherwise(F.lit(2**16))))
+    return F.zip_with(F.transform(a, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), b, lambda x, y: F.pmod(x["v"] + sign * y, F.when(x["i"] < HEAD, F.lit(HEAD_MOD)).otherwise(F.lit(BODY_MOD))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: 1 for equal vectors, else equal body lanes over those set in either, of the strata that count."""
-    most = F.greatest(F.element_at(a, HEAD), F.element_at(b, HEAD))
-    first = F.when(most <= CROWD, 0).when(most <= 4 * CROWD, 1).when(most <= 16 * CROWD, 2).otherwise(3)
-    start, n = (HEAD + 1 + first * LANES).cast("int"), F.lit(BODY)
-    return F.when(a == b, F.lit(1.0)).otherwise(_alike(F.slice(a, start, n), F.slice(b, start, n)))
-
-
-def _alike(a: Column, b: Column) -> Column:
-    """Equal lanes over those set in either; 0 if none is."""
-    lanes = F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), 0).when(x == y, 1).otherwise(-1))
-    same = F.size(F.filter(lanes, lambda v: v == 1))
-    used = F.size(F.filter(lanes, lambda v: v != 0))
-    return F.when(used == 0, F.lit(0.0)).otherwise(same.cast("double") / used)
-
-
-def crowds(v: Column) -> Column:
-    """A text of this vector crowds the last stratum of the body."""
-    return F.element_at(v, HEAD) > CROWD * 4 ** (STRATA - 1)
-
+    """0 to 1: 1 for equal vectors, else the cosine of the bodies' signed roots, 0 if it is negative or a body is zero.
 
-def deeper(text: Column) -> Column:
-    """array<bigint> of DEEPER * LANES: the sentences past the first 3/4 of the last stratum, in strata of 3/4, 3/16, ... of them."""
-    hashes = F.transform(F.flatten(F.transform(F.split(text, "\n", -1), lambda p: F.split(p, "\\. ", -1))), lambda x: F.sha2(x, 256))
-    # of the last stratum, by digits 1 to 4, and not of the 3/4 of it that come first, by digit 7
-    past = F.filter(hashes, lambda h: (h < "04") & (F.substring(h, 7, 1) < "4"))
-
-    def item(h: Column) -> Column:
-        depth = _number(F.substring(h, 7, 12))
-        stratum = F.when(depth >= 2**44, 0)
-        for i in range(1, DEEPER - 1):
-            stratum = stratum.when(depth >= 2 ** (44 - 2 * i), i)
-        lane = stratum.otherwise(DEEPER - 1) * LANES + _number(F.substring(h, 5, 2)) % LANES
-        return F.struct(lane.cast("int").alias("lane"), _number(F.substring(h, 61, 4)).alias("value"))
-
-    def add(a: Column, p: Column) -> Column:
-        return F.concat(F.slice(a, 1, p["lane"]), F.array(F.element_at(a, p["lane"] + 1) + p["value"]), F.slice(a, p["lane"] + 2, F.lit(DEEPER * LANES)))
-
-    body = F.aggregate(F.transform(past, item), F.array_repeat(F.lit(0).cast("long"), DEEPER * LANES), add)
-    return F.transform(body, lambda v: F.pmod(v, F.lit(2**16)))
-
-
-def likeness_of_long(a: Column, b: Column, deep_a: Column, deep_b: Column) -> Column:
-    """likeness where either text crowds the body, by the first strata in which neither sets over CROWD lanes.
-
-    Lanes that are set count sentences that differ, so texts that repeat a few lines
-    are compared by strata that hold some of them.
+    Roots, so that a line that repeats does not outweigh all others; in whole numbers of
+    4096ths, so that sums are the same in any order.
     """
 
-    def parts(k: int) -> list[Column]:
-        if k < STRATA:
-            return [F.slice(v, HEAD + 1 + k * LANES, BODY) for v in (a, b)]
-        return [F.slice(v, 1 + (k - STRATA) * LANES, DEEPER * LANES) for v in (deep_a, deep_b)]
+    def signed(v: Column) -> Column:
+        root = lambda x: F.floor(F.sqrt(x) * 4096)
+        return F.transform(F.slice(v, HEAD + 1, BODY), lambda x: F.when(x < BODY_MOD // 2, root(x)).otherwise(-root(BODY_MOD - x)))
+
+    def total(products: Column) -> Column:
+        return F.aggregate(products, F.lit(0).cast("long"), lambda s, x: s + x).cast("double")
 
-    def few(v: Column) -> Column:
-        return F.size(F.filter(v, lambda x: x != 0)) <= CROWD
+    def cosine(xy: Column) -> Column:
+        x, y = xy["x"], xy["y"]
+        across = total(F.zip_with(x, y, lambda p, q: p * q))
+        lengths = F.sqrt(total(F.transform(x, lambda p: p * p))) * F.sqrt(total(F.transform(y, lambda p: p * p)))
+        return _let(F.struct(across.alias("across"), lengths.alias("lengths")), lambda v: F.when(v["across"] <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), v["across"] / v["lengths"])))
 
-    last = STRATA + DEEPER - 1
-    chosen = [F.when(few(x) & few(y), _alike(x, y)) for x, y in map(parts, range(last))]
-    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(*chosen, _alike(*parts(last))))
+    return F.when(a == b, F.lit(1.0)).otherwise(_let(F.struct(signed(a).alias("x"), signed(b).alias("y")), cosine))
 
 
-def with_next(docs: DataFrame, rows: int = SLICE_ROWS) -> DataFrame:
+def with_next(docs: DataFrame, rows: int = SLICE_ROWS, vectors: bool = False) -> DataFrame:
     """(doc_id, text, next): each document and the text of the next one by id.
 
     Ids are cut into slices at quantiles, which are ids of the table. The first
     document of a slice is also sent to the slice before it (the very first to the
     last, as the next of the last), so each slice finds all its neighbours by itself.
-    Null ids come first, ties go by text. Slices are some thousands of rows; only ids
-    that repeat can make one larger, and a slice spills to disk.
+    Null ids come first, ties go by text. Slices are some thousands of rows, and more
+    where ids repeat or there are over ``SLICES`` times as many rows; a slice spills to disk.
+    With ``vectors``, also the texts' vectors, a and next_a: each text is hashed once.
     """
     low = -(2**63)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("k"))
     n, first = keyed.agg(F.count("*"), F.min("k")).first()
-    parts = max(1, min(10_000, n // rows))
+    parts = max(1, min(SLICES, n // rows))
     cuts = keyed.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).first()[0] if parts > 1 else []
     cuts = sorted({first if first is not None else 0, *(cuts or [])})
     bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
@@ -160,7 +131,18 @@ def with_next(docs: DataFrame, rows: int = SLICE_ROWS) -> DataFrame:
     spread = keyed.withColumn("slice", slice_of).withColumn("to", F.explode(F.when(at_bound, F.array(here, there)).otherwise(F.array(here))))
     spread = spread.select("doc_id", "text", "k", "to.slice", "to.guest")
     along = Window.partitionBy("slice").orderBy("guest", "k", "text")
-    return spread.withColumn("next", F.lead("text").over(along)).where(~F.col("guest")).select("doc_id", "text", "next")
+    met = spread.withColumn("next", F.lead("text").over(along))
+    if not vectors:
+        return met.where(~F.col("guest")).select("doc_id", "text", "next")
+    # text and edited text are one head and different rests
+    n = F.char_length("text")
+    kept = F.col("text").substr(F.lit(1), n - F.floor(n / 4).cast("int"))
+    at = F.instr(F.reverse(kept), "\n")
+    met = met.withColumn("edit", edited(F.col("text"), F.coalesce("next", F.lit("")))).withColumn("at", F.when(at > 0, F.char_length(kept) - at + 1))
+    head, rest = F.when(F.col("at").isNotNull(), F.col("text").substr(F.lit(1), F.col("at") - 1)), F.coalesce(F.col("at"), F.lit(0)) + 1
+    met = met.withColumn("h", vector(head)).withColumn("removed", vector(F.col("text").substr(rest, n))).withColumn("added", vector(F.col("edit").substr(rest, F.char_length("edit"))))
+    met = met.select("guest", "slice", "k", "text", "doc_id", "edit", combined(F.col("h"), F.col("removed")).alias("a"), combined(F.col("h"), F.col("added")).alias("b"))
+    return met.withColumn("next_a", F.lead("a").over(along)).where(~F.col("guest")).select("doc_id", "text", "edit", "a", "b", "next_a")
 
 
 def _rank(k: Column, cuts: list[int]) -> Column:
@@ -187,45 +169,37 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
     docs needs doc_id and text. A null or empty text is one empty paragraph. A table
     of one row has itself as the next. An empty table gives an empty table. Rows that
-    repeat give a row each; other columns are not used.
+    repeat give a row each, ties of the id go by text; other columns are not used.
     """
-    pairs = with_next(docs).withColumn("edit", edited(F.col("text"), F.col("next")))
-    pairs = pairs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"), vector(F.col("text")).alias("a"), vector(F.col("edit")).alias("b"), vector(F.col("next")).alias("c"), "text", "edit", "next")
-    long_ab, long_ac = (crowds(F.col("a")) | crowds(F.col(x)) for x in "bc")
-    pairs = pairs.select("doc_id", "n_chars", "edited_sha256", "a", "b", "c", *[F.when(c, deeper(F.col(t))).alias(f"deep_{x}") for x, t, c in (("a", "text", long_ab | long_ac), ("b", "edit", long_ab), ("c", "next", long_ac))])
-
-    def near(other: str, is_long: Column) -> Column:
-        x, y = F.col("a"), F.col(other)
-        return F.when(is_long, likeness_of_long(x, y, F.col("deep_a"), F.col(f"deep_{other}"))).otherwise(likeness(x, y))
-
-    return pairs.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("b")).alias("edited_fingerprint"), near("b", long_ab).alias("near_edited"), near("c", long_ac).alias("near_next"))
+    pairs = with_next(docs, vectors=True)
+    a, b, c = (F.col(x) for x in ("a", "b", "next_a"))
+    return pairs.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"), fingerprint(a).alias("fingerprint"), fingerprint(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next")
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(common.documents(spark, sf_dir))
 
 
-# In SQL: h a text's paragraph hashes, m its sentence hashes.
-_DEPTH = "('0x' || substr(x, 1, 4))::BIGINT"
-_LANE = f"(CASE WHEN {_DEPTH} >= 16384 THEN 0 WHEN {_DEPTH} >= 4096 THEN 1 WHEN {_DEPTH} >= 1024 THEN 2 ELSE 3 END) * 64 + ('0x' || substr(x, 5, 2))::BIGINT % 64"
-_LANES = f"""list_concat(
-    list_transform(range(8), lambda i: list_sum(list_transform(h, lambda x: ('0x' || substr(x, (1 + 8 * i)::BIGINT, 8))::BIGINT))::BIGINT % 4294967296), [len(m)],
-    list_transform(range(256), lambda i: coalesce(list_sum(list_transform(list_filter(m, lambda x: {_LANE} = i), lambda x: ('0x' || substr(x, 61, 4))::BIGINT))::BIGINT, 0) % 65536))"""
-_TEXT = "array_to_string(list_transform({0}, lambda v, i: CASE WHEN i <= 9 THEN printf('%08x', v) ELSE printf('%04x', v) END), '')"
-_FROM = "(10 + 64 * CASE WHEN greatest({0}[9], {1}[9]) <= 40 THEN 0 WHEN greatest({0}[9], {1}[9]) <= 160 THEN 1 WHEN greatest({0}[9], {1}[9]) <= 640 THEN 2 ELSE 3 END)"
-_ZIP = f"list_zip(list_slice({{0}}, {_FROM}, 265), list_slice({{1}}, {_FROM}, 265))"
-_LIKE = f"""CASE WHEN {{0}} = {{1}} THEN 1.0::DOUBLE ELSE coalesce(
-    len(list_filter({_ZIP}, lambda z: z[1] = z[2] AND z[1] <> 0))::DOUBLE
-    / nullif(len(list_filter({_ZIP}, lambda z: z[1] <> 0 OR z[2] <> 0)), 0), 0.0) END"""
+# In SQL: h a text's paragraph hashes, m its chunks' numbers.
+_LANES = """list_concat(
+    list_transform(range(8), lambda i: list_sum(list_transform(h, lambda x: ('0x' || substr(x, (1 + 8 * i)::BIGINT, 8))::BIGINT))::BIGINT % 4294967296),
+    list_transform(range(256), lambda i: (16777216 + len(list_filter(m, lambda x: x = 2 * i)) - len(list_filter(m, lambda x: x = 2 * i + 1)))::BIGINT % 16777216))"""
+_TEXT = "array_to_string(list_transform({0}, lambda v, i: CASE WHEN i <= 8 THEN printf('%08x', v) ELSE printf('%06x', v) END), '')"
+_SIGNED = "list_transform(list_slice({0}, 9, 264), lambda x: CASE WHEN x < 8388608 THEN floor(sqrt(x) * 4096)::BIGINT ELSE -floor(sqrt(16777216 - x) * 4096)::BIGINT END) AS s{0}"
+_DOT = "list_sum(list_transform(list_zip(s{0}, s{1}), lambda z: z[1] * z[2]))::DOUBLE"
+_LIKE = f"CASE WHEN {{0}} = {{1}} THEN 1.0::DOUBLE WHEN {_DOT} > 0 THEN least(1.0::DOUBLE, {_DOT} / (sqrt({_DOT.format('{0}', '{0}')}) * sqrt({_DOT.format('{1}', '{1}')}))) ELSE 0.0::DOUBLE END"
 
 
 def _hashes(of: str, name: str) -> str:
     lines = f"string_split({of}, chr(10))"
-    return f"list_transform({lines}, lambda x: sha256(x)) AS h{name}, list_transform(flatten(list_transform({lines}, lambda x: string_split(x, '. '))), lambda x: sha256(x)) AS m{name}"
+    chunks = f"flatten(list_transform(flatten(list_transform({lines}, lambda x: string_split(x, '. '))), lambda x: regexp_extract_all(x, '(?s).{{1,64}}')))"
+    return f"list_transform({lines}, lambda x: sha256(x)) AS h{name}, list_transform({chunks}, lambda x: ('0x' || substr(md5(x), 1, 3))::BIGINT % 512) AS m{name}"
 
 
 def _lanes(name: str) -> str:
-    return _LANES.replace("(h,", f"(h{name},").replace("(m,", f"(m{name},").replace("len(m)", f"len(m{name})")
+    return _LANES.replace("(h,", f"(h{name},").replace("(m,", f"(m{name},")
 
 
 SQL = f"""
@@ -240,8 +214,10 @@ WITH d AS (
   SELECT doc_id, n, sha256(e) AS es, {_hashes("t", "t")}, {_hashes("e", "e")}, {_hashes("nx", "n")} FROM e
 ), v AS (
   SELECT doc_id, n, es, {_lanes("t")} AS a, {_lanes("e")} AS b, {_lanes("n")} AS c FROM hs
+), w AS (
+  SELECT *, {_SIGNED.format("a")}, {_SIGNED.format("b")}, {_SIGNED.format("c")} FROM v
 )
 SELECT doc_id, n::BIGINT AS n_chars, es AS edited_sha256, {_TEXT.format("a")} AS fingerprint, {_TEXT.format("b")} AS edited_fingerprint,
        {_LIKE.format("a", "b")} AS near_edited, {_LIKE.format("a", "c")} AS near_next
-FROM v
+FROM w
 """

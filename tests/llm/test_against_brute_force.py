@@ -78,6 +78,45 @@ def test_forward_and_counts_equal_all_paths():
     assert np.allclose(a, starts) and np.allclose(b, moves) and np.allclose(e, emissions)
 
 
+def test_parts_of_texts_count_every_token_and_move_once():
+    """Counts over parts with lead-in and lead-out are those of the whole texts, as states are soon forgotten."""
+    rng = np.random.default_rng(7)
+    p = hmm.Parameters(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3) * 4, 3), rng.dirichlet(np.ones(9), 3).T)
+    texts = [rng.integers(0, 9, n) for n in (1, 40, 64, 65, 300, 777)]
+    whole = hmm.expected_counts(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])]), p)
+    codes, offsets, own = language_model._parts(texts, 64, 24)
+    parts = hmm.expected_counts(codes, offsets, p, own)
+    for a, b in zip(whole[:3], parts[:3], strict=True):
+        assert np.allclose(a, b, rtol=1e-3, atol=1e-3)
+    assert parts[2].sum() == pytest.approx(sum(map(len, texts))) and parts[1].sum() == pytest.approx(sum(len(x) - 1 for x in texts))
+
+
+def test_score_is_that_of_all_paths(spark, prose, monkeypatch):
+    """``score`` against a dense forward over every class, from the parameters the training ended with, with words and counts in plain Python."""
+    seen = []
+    real = hmm.maximised
+    monkeypatch.setattr(hmm, "maximised", lambda *a: seen.append(real(*a)) or seen[-1])
+    docs = spark.createDataFrame(prose[:60], SCHEMA)
+    got = {r["doc_id"]: r for r in language_model.score_documents(docs).collect()}
+    p = seen[-1]
+    c = Counter(w for d, t, _, _ in prose[:60] if zlib.crc32(str(d).encode()) % 10 for w in words(t))
+    order = {w: i for i, (w, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0])))}
+    ending = lambda w: language_model.FREQUENT + zlib.crc32(w[-3:]) % language_model.ENDINGS
+    for d, t, _, _ in prose[:60]:
+        alpha, total = None, 0.0
+        for w in [*words(t), None]:
+            if w is None:
+                e = p.emit[language_model.END_CLASS]
+            elif w in order:  # all known words have a class of their own here
+                e = p.emit[order[w]]
+            else:  # the only word of its class, of which none has been seen: 0.1 of 0.1 * (0 + 1)
+                e = p.emit[ending(w)]
+            alpha = (p.start if alpha is None else alpha @ p.move) * e
+            total += math.log10(alpha.sum())
+            alpha /= alpha.sum()
+        assert got[d]["score"] == pytest.approx(total, abs=1e-6)
+
+
 def test_training_raises_the_likelihood():
     rng = np.random.default_rng(0)
     ids = np.concatenate([rng.integers(0, 10, 300) + 10 * (i % 2) for i in range(20)])
@@ -278,18 +317,16 @@ def test_covering_sets_serve_any_five_positions():
 
 def test_multiset_hash(spark, texts):
     def vector(t):
-        v = [0] * 265
+        v = [0] * 264
+
         for p in t.split("\n"):
             h = hashlib.sha256(p.encode()).hexdigest()
             for i in range(8):
                 v[i] = (v[i] + int(h[8 * i : 8 * i + 8], 16)) % 2**32
             for x in p.split(". "):
-                h = hashlib.sha256(x.encode()).hexdigest()
-                depth = int(h[:4], 16)
-                stratum = 0 if depth >= 2**14 else 1 if depth >= 2**12 else 2 if depth >= 2**10 else 3
-                lane = 9 + 64 * stratum + int(h[4:6], 16) % 64
-                v[lane] = (v[lane] + int(h[60:], 16)) % 2**16
-                v[8] += 1
+                for c in (x[i : i + 64] for i in range(0, len(x), 64)):
+                    item = int(hashlib.md5(c.encode()).hexdigest()[:3], 16) % 512
+                    v[8 + item // 2] = (v[8 + item // 2] + (-1) ** (item % 2)) % 2**24
         return v
 
     from pyspark.sql import functions as F
@@ -312,6 +349,8 @@ def test_edited_text_and_next(docs, texts):
         assert (got[d]["n_chars"], got[d]["edited_sha256"]) == (n, hashlib.sha256(edit.encode()).hexdigest())
         assert 0 <= got[d]["near_next"] <= 1 and 0 <= got[d]["near_edited"] <= 1
         assert (got[d]["fingerprint"] == got[d]["edited_fingerprint"]) == (sorted(t.split("\n")) == sorted(edit.split("\n")))
+        if n > 200 and texts[nxt] != t:
+            assert got[d]["near_edited"] > got[d]["near_next"]
 
 
 def test_slices_meet_their_neighbours(spark):
@@ -364,6 +403,29 @@ def test_language_held_out(docs, texts):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_fit_is_kernel_ridge_regression():
+    """With every text a landmark, the scores are those of dense ridge regression on the kernel's features."""
+    texts = [f"{a} {b} {c}".encode() for a in ("the river", "der fluss", "la rivière") for b in ("house", "straße", "maison", "morning") for c in ("one", "zwei", "trois")]
+    labels = ["en"] * 12 + ["de"] * 12 + ["fr"] * 12
+    m = language_id.fit(texts, labels, landmarks=len(texts), ridge=1e-3)
+    x = language_id.matrix(texts).astype(np.float64)
+    k, y = x @ x.T, (np.array(labels)[:, None] == np.array(m.languages)[None, :]).astype(float)
+    # ridge with a free constant: centre, then (k + ridge n) a = y
+    h = np.eye(len(k)) - 1 / len(k)
+    a = np.linalg.solve(h @ k @ h + 1e-3 * len(k) * np.eye(len(k)), h @ y)
+    dense = h @ k @ h @ a + y.mean(0)
+    assert np.allclose(m.scores(texts), dense, atol=2e-3)
+
+
+def test_cosine_hash_against_plain_sums():
+    rows = np.random.default_rng(1).integers(0, 256, (96, 24)).astype(np.uint8)
+    up = np.repeat(np.repeat(rows.astype(float), 4, 1), 1, 0)  # 24 columns as 96, so each cell has 3 by 3 of equal parts
+    cells = up.reshape(32, 3, 32, 3).mean((1, 3))
+    low = [round(sum(cells[y, x] * math.cos(math.pi * (2 * y + 1) * i / 64) * math.cos(math.pi * (2 * x + 1) * j / 64) for y in range(32) for x in range(32)), 6) for i in range(8) for j in range(8)][1:]
+    middle = sorted(low)[31]
+    assert media.cosine_hash(rows) == f"{int('0' + ''.join('1' if v > middle else '0' for v in low), 2):016x}"
+
+
 def test_kernel_is_common_grams_over_norms():
     a, b = b"river house", b"the river"
     x = language_id.matrix([a, b])
