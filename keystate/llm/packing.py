@@ -104,18 +104,22 @@ def _sweep(docs: DataFrame, gaps: DataFrame, n_docs: int, n_gaps: int, top: int)
     rows = rows.unionByName(docs.select(F.lit(True).alias("doc"), F.col("pid").alias("id"), F.lit(0).alias("k"), F.col("size").cast("int").alias("size")))
     order = [F.col("size").desc(), F.col("doc"), F.col("id"), F.col("k")]
     parts = max(1, math.ceil((n_docs + n_gaps) / ROWS))
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    laid = common.stored(ranged.mapInArrow(_prefix, "doc boolean, id long, k int, size int, part int, nth long, sum long, least long, low boolean"), "sweep")
-    # a row for each range partition: what the partitions before it hand on
-    carry, total, least = [], 0, 0
-    for r in sorted(laid.where("doc IS NULL").select("part", "sum", "least").collect()):
-        carry.append((r["part"], total, least))
-        total, least = total + r["sum"], min(least, total + r["least"])
-    handed = F.broadcast(spark.createDataFrame(carry, "part int, s0 long, m0 long"))
+    # up to ROWS rows are one range, which needs no exchange
+    ranged = rows.repartitionByRange(parts, *order) if parts > 1 else rows.coalesce(1)
+    laid = common.stored(ranged.sortWithinPartitions(*order).mapInArrow(_prefix, "doc boolean, id long, k int, size int, part int, nth long, sum long, least long, low boolean"), "sweep")
+    here = laid.where("doc IS NOT NULL")
+    if parts > 1:  # a row for each range partition: what the partitions before it hand on
+        carry, total, least = [], 0, 0
+        for r in sorted(laid.where("doc IS NULL").select("part", "sum", "least").collect()):
+            carry.append((r["part"], total, least))
+            total, least = total + r["sum"], min(least, total + r["least"])
+        here = here.join(F.broadcast(spark.createDataFrame(carry, "part int, s0 long, m0 long")), "part")
+    else:
+        here = here.withColumns({"s0": F.lit(0).cast("long"), "m0": F.lit(0).cast("long")})
     at = F.col("s0") + F.col("sum")
     left = F.col("doc") & F.col("low") & (at < F.col("m0"))
     depth = at - F.least(F.col("m0"), F.col("s0") + F.col("least"))
-    here = laid.where("doc IS NOT NULL").join(handed, "part").withColumn("left", left).withColumn("depth", depth + F.col("doc").cast("int"))
+    here = here.withColumn("left", left).withColumn("depth", depth + F.col("doc").cast("int"))
     along = Window.partitionBy("depth").orderBy("part", "nth")
     met = here.where("NOT left").select("doc", "id", "size", F.lead("id").over(along).alias("pid"), F.lead("size").over(along).alias("got"))
     return common.stored(met.where("NOT doc").select(F.col("id").alias("seq"), "size", "pid", "got"), "slots"), here.where("left").select(F.col("id").alias("pid"), "size")
