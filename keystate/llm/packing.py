@@ -47,14 +47,14 @@ def cut_lengths(n: int, most: int) -> list[int]:
     return [n - (pieces - 1) * most, *[most] * (pieces - 1)]
 
 
-def _cut(vocabulary: str, end: int, most: int, keep_ids: bool):
+def _cut(vocabulary: str, end: int, most: int, keep_ids: bool, cache_pieces: int, portion: int):
     names = [*_PIECES, ("ids", pa.binary())] if keep_ids else _PIECES
     schema = pa.schema(names)
 
     def run(batches):
-        cache = tokens.pieces(tokens.BytePieces, vocabulary)
+        cache = tokens.pieces(tokens.BytePieces, vocabulary, cache_pieces)
         for batch in batches:
-            for part in tokens.portions(batch):
+            for part in tokens.portions(batch, most=portion):
                 ids, n = cache.column(part.column("text"))
                 ends = np.cumsum(n)
                 raw = memoryview(np.insert(ids, ends, end).astype("<u4").tobytes())
@@ -67,6 +67,7 @@ def _cut(vocabulary: str, end: int, most: int, keep_ids: bool):
                         start, at = start + size, at + size
                 columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), names, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -156,15 +157,24 @@ def place(docs: DataFrame, most: int) -> tuple[DataFrame | None, int]:
     return (reduce(DataFrame.unionByName, done), opened) if done else (None, 0)
 
 
-def pack(docs: DataFrame, most: int = LENGTH, vocabulary: str = VOCABULARY, end: int = END, keep_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    most: int = LENGTH,
+    vocabulary: str = VOCABULARY,
+    end: int = END,
+    keep_ids: bool = False,
+    cache_pieces: int = tokens.CACHE,
+    portion: int = tokens.AT_ONCE,
+) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     docs needs doc_id and text. A null text is an empty one: its piece is the end id
     alone. Rows that repeat are packed as often as they come; pieces of one size go by
     their place in the table. Other columns of docs are not used. An empty table gives
-    an empty table.
+    an empty table. ``cache_pieces`` and ``portion`` (bytes of text cut at once) trade a
+    worker's memory for time; the rows are the same.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(vocabulary, end, most, keep_ids), _DDL + ", ids binary" * keep_ids)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(vocabulary, end, most, keep_ids, cache_pieces, portion), _DDL + ", ids binary" * keep_ids)
     pieces = common.stored(rows.withColumn("pid", F.monotonically_increasing_id()), "pieces")
     placed, _ = place(pieces.select("pid", F.col("length").cast("int").alias("size")), most)
     kept = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]

@@ -216,8 +216,8 @@ class BytePieces(Pieces):
 _workers: dict[tuple, Pieces] = {}
 
 
-def pieces(kind: type[Pieces], name: str) -> Pieces:
-    """One for each worker process and vocabulary; later tasks of the worker find it warm."""
-    if (kind.__name__, name) not in _workers:
-        _workers[kind.__name__, name] = kind(name)
-    return _workers[kind.__name__, name]
+def pieces(kind: type[Pieces], name: str, most: int = CACHE) -> Pieces:
+    """One for each worker process, vocabulary and bound; later tasks of the worker find it warm."""
+    if (kind.__name__, name, most) not in _workers:
+        _workers[kind.__name__, name, most] = kind(name, most)
+    return _workers[kind.__name__, name, most]
