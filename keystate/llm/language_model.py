@@ -12,8 +12,8 @@ sums the expected counts of its sequences, the sums are added up by class, and t
 driver makes new parameters from one row for each class. Training sequences are whole
 documents, or if longer than ``WINDOW`` consecutive parts of them, each led in and out
 by ``AROUND`` tokens of its neighbours, so a move between parts is counted, and starts are
-those of texts. The first parameters come from ``SEEDS`` documents of up to
-``SEED_TOKENS`` tokens; every count after that is over all.
+those of texts. The first parameters are drawn at random around the overall shares, from no
+document, and every round counts all learning documents.
 
 Counts of words that are not among the ``TABLE`` most frequent are never broadcast: the
 rare words of the documents are joined with them by a shuffle.
@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from . import common, hmm
 
 #: Words with a class of their own, shared classes, hidden states, rounds over all learning documents.
-FREQUENT, ENDINGS, STATES, ROUNDS = 16_384, 2_048, 8, 3
+FREQUENT, ENDINGS, STATES, ROUNDS = 16_384, 2_048, 8, 7
 #: Words whose counts are broadcast (about 12 bytes each).
 TABLE = 262_144
-WINDOW, AROUND, SEEDS, SEED_ROUNDS, SEED_TOKENS = 512, 24, 800, 20, 2_000
+WINDOW, AROUND = 512, 24
 #: Added to every count, and the emissions in overall shares that eke out a state's.
 ADDED, EKED = 0.1, 50.0
 #: Distinct words that a task tallies before it hands them on, and tokens whose recursion
@@ -218,19 +218,6 @@ def frequent(counts: DataFrame, most: int) -> pa.Table:
     return chosen.select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
 
 
-def seed_documents(coded: DataFrame, n_learning: int) -> list[bytes]:
-    """The codes of SEEDS learning documents at most, those of the smallest hashes of their
-    ids among the whole texts of up to SEED_TOKENS tokens.
-
-    Hashes below a threshold that lets through somewhat more, so no task sends its own
-    best ones to the driver; the limit holds where one id repeats without end.
-    """
-    share = min(1.0, 1.3 * (SEEDS + 50) / max(1, n_learning))
-    h = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40))
-    rows = coded.where("NOT held_out").where(F.col("n_tokens") <= SEED_TOKENS).select("codes", h.alias("h")).where(F.col("h") < int(share * (1 << 40)) + 1)
-    return [bytes(r["codes"]) for r in rows.orderBy("h", "codes").limit(SEEDS).collect()]
-
-
 def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
@@ -263,14 +250,7 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
 
     coded = rows.mapInArrow(_coder(context.broadcast((table, n_ends))), "doc_id long, held_out boolean, n_tokens long, n_table long, sum_base double, sum_shared double, codes binary, rare array<string>")
     coded = common.stored(coded.withColumn("key", F.monotonically_increasing_id()), "coded")
-    first = seed_documents(coded, n_ends)
     p = hmm.seeded(shares, STATES)
-    if first:
-        codes = [np.frombuffer(c, "<i4") for c in first]
-        offsets = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
-        for _ in range(SEED_ROUNDS):
-            s, m, e, _ = hmm.expected_counts(np.concatenate(codes), offsets, p)
-            p = hmm.maximised(s, m, e, shares, EKED)
     if n_ends:
         for _ in range(ROUNDS):
             sums = coded.where("NOT held_out").select("codes").mapInArrow(_expect(context.broadcast((p.start, p.move, p.emit))), _COUNTS).groupBy("class").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(STATES)])

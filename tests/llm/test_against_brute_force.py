@@ -117,6 +117,22 @@ def test_score_is_that_of_all_paths(spark, prose, monkeypatch):
         assert got[d]["score"] == pytest.approx(total, abs=1e-6)
 
 
+def test_every_round_counts_all_learning_tokens(spark, prose, monkeypatch):
+    """Parameters, the first ones included, come from no part of the documents: of few or of many tokens."""
+    seen = []
+    real = hmm.maximised
+    monkeypatch.setattr(hmm, "maximised", lambda *a: seen.append(a) or real(*a))
+    rows = [*prose[:40], (600, " ".join(t for _, t, _, _ in prose[:60]) * 9, "en", "s0")]
+    learning = [words(t) for d, t, _, _ in rows if zlib.crc32(str(d).encode()) % 10]
+    n = sum(len(w) + 1 for w in learning)
+    assert max(map(len, learning)) > 2000
+    assert language_model.score_documents(spark.createDataFrame(rows, SCHEMA)).first()["train_tokens"] == n
+    assert len(seen) == language_model.ROUNDS
+    for starts, moves, emissions, *_ in seen:
+        assert starts.sum() == pytest.approx(len(learning)) and emissions.sum() == pytest.approx(n)
+        assert moves.sum() == pytest.approx(n - len(learning))
+
+
 def test_training_raises_the_likelihood():
     rng = np.random.default_rng(0)
     ids = np.concatenate([rng.integers(0, 10, 300) + 10 * (i % 2) for i in range(20)])
