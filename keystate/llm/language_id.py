@@ -2,8 +2,11 @@
 
 The kernel is a blended spectrum of presence: two texts' common n-grams of 1 to 4 bytes
 (in lower case, with all that is no letter as one blank), over the root of the product
-of their numbers. Training takes a bounded sample of labelled documents, Nyström
-features over landmarks from it, and one-versus-rest kernel ridge regression on them.
+of their numbers. Training takes every labelled text, each language with the same weight
+in all. Landmarks are ``LANDMARKS`` signed sums of the texts, every text in one of them (a
+random sketch, so they span about what the texts' leading directions do). One-versus-rest
+ridge regression on the Nyström features over them needs only sums over the texts, which
+tasks make; the driver gets the landmarks and those sums, no texts.
 
 A presence kernel is an inner product of presence vectors, so the landmarks fold into
 one weight for each n-gram and language; a batch of texts is scored by one product of
@@ -12,6 +15,8 @@ its presence matrix with those weights.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,15 +26,13 @@ from . import common
 
 #: Hashed n-grams, their lengths, and documents whose rows are multiplied at once.
 GRAMS, LENGTHS, BATCH = 1 << 15, (1, 2, 3, 4), 32
-#: The sample: documents in all (shared by the languages), landmarks, and the ridge.
-SAMPLE, LANDMARKS, RIDGE = 2400, 256, 1e-3
-#: Beginnings of the sample's texts that are learned besides the whole ones, in bytes: short texts are to be told as well.
+#: Landmarks and the ridge.
+LANDMARKS, RIDGE = 256, 1e-3
+#: Beginnings of texts that are learned besides the whole ones, in bytes: short texts are to be told as well.
 SNIPPETS = (40, 160)
-#: Texts of more bytes are not sampled, so what the driver gets is bounded.
-LONGEST_SAMPLED = 65_536
 UNDETERMINED = "und"
 #: The pipeline rejects documents that score below this part of the least that any text
-#: of the sample gets for its own language.
+#: learned from gets for its own language.
 REJECTED = 0.9
 
 _BLANKED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -61,67 +64,172 @@ def matrix(texts: list[bytes]) -> np.ndarray:
 
 
 class Model:
-    """languages, and a weight for each n-gram and language, with a constant each;
-    least: the least score that a text learned from gets for its own language."""
+    """languages, and a weight for each n-gram and language, with a constant each."""
 
-    def __init__(self, languages: list[str], weights: np.ndarray, constants: np.ndarray, least: float = 0.0):
-        self.languages, self.weights, self.constants, self.least = languages, weights, constants, least
+    def __init__(self, languages: list[str], weights: np.ndarray, constants: np.ndarray):
+        self.languages, self.weights, self.constants = languages, weights, constants
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         return matrix(texts) @ self.weights + self.constants
 
 
+class Landmarks:
+    """Sums of presence rows, and what turns kernels with them into Nyström features."""
+
+    def __init__(self, z: np.ndarray, root: np.ndarray):
+        self.z, self.root = z, root
+
+    @classmethod
+    def of(cls, z: np.ndarray) -> Landmarks:
+        """Made once and sent: eigenvectors need not be the same on two machines."""
+        values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
+        kept = values > max(1e-6 * values.max(), 1e-12)
+        return cls(z, vectors[:, kept] / np.sqrt(values[kept]))
+
+    def features(self, texts: list[bytes]) -> np.ndarray:
+        """Features of some texts, the last one a constant."""
+        return np.hstack([(matrix(texts) @ self.z.T).astype(np.float64) @ self.root, np.ones((len(texts), 1))])
+
+    def sums(self, texts: list[bytes], of: list[int], weights: np.ndarray, languages: int) -> np.ndarray:
+        """What the regression needs of some texts: a row for each feature, of its weighted
+        products with all features and with each language's texts being of it."""
+        phi = self.features(texts)
+        return (phi * weights[:, None]).T @ np.hstack([phi, np.eye(languages)[of]])
+
+    def solved(self, sums: np.ndarray, languages: list[str], ridge: float) -> Model:
+        n = len(sums)
+        penalty = np.full(n, ridge * sums[-1, n - 1])  # the constant with itself: all weights
+        penalty[-1] = 1e-9
+        w = np.linalg.solve(sums[:, :n] + np.diag(penalty), sums[:, n:])
+        return Model(languages, (self.z.T @ (self.root @ w[:-1])).astype(np.float32), w[-1].astype(np.float32))
+
+
 def fit(texts: list[bytes], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Nyström features over every so-many-th text, then ridge regression for each language."""
+    """A model of all of some texts, each of the same weight, in memory."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((GRAMS, 0), np.float32), np.zeros(0, np.float32))
-    z = matrix([texts[i] for i in np.unique(np.linspace(0, len(texts) - 1, min(landmarks, len(texts))).astype(int))])
-    values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
-    kept = values > 1e-6 * values.max()
-    root = vectors[:, kept] / np.sqrt(values[kept])  # kernel with the landmarks -> features
-    gram, cross = np.zeros((kept.sum() + 1,) * 2), np.zeros((kept.sum() + 1, len(languages)))
-    total, features, own = 0, [], []
+    z = np.zeros((min(landmarks, len(texts)), GRAMS), np.float32)
+    for i, t in enumerate(texts):
+        z[i % len(z)] += matrix([t])[0] * (1 - 2 * (zlib.crc32(t) & 1))
+    marks = Landmarks.of(z)
+    total = np.zeros((marks.root.shape[1] + 1, marks.root.shape[1] + 1 + len(languages)))
     for at in range(0, len(texts), 256):
-        phi = np.hstack([(matrix(texts[at : at + 256]) @ z.T).astype(np.float64) @ root, np.ones((len(texts[at : at + 256]), 1))])
-        y = (np.array(labels[at : at + 256])[:, None] == np.array(languages)[None, :]).astype(np.float64)
-        gram += phi.T @ phi
-        cross += phi.T @ y
-        total += len(phi)
-        features.append(phi)
-        own.append(y.argmax(1))
-    penalty = np.full(len(gram), ridge * total)
-    penalty[-1] = 1e-9
-    w = np.linalg.solve(gram + np.diag(penalty), cross)
-    least = min(float((phi @ w)[np.arange(len(o)), o].min()) for phi, o in zip(features, own, strict=True))
-    return Model(languages, (z.T @ (root @ w[:-1])).astype(np.float32), w[-1].astype(np.float32), least)
+        part = texts[at : at + 256]
+        total += marks.sums(part, [languages.index(x) for x in labels[at : at + 256]], np.ones(len(part)), len(languages))
+    return marks.solved(total, languages, ridge)
 
 
 def _lowered(text: str) -> bytes:
     return text.lower().encode()
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from labelled rows: ``sample`` documents at most, as many for each language,
-    those of the smallest hashes of their ids (found by a threshold; the limit holds where
-    one id repeats without end). Rows without text or language, or of texts over
-    ``LONGEST_SAMPLED`` bytes, have no part."""
-    labelled = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").where(F.octet_length("text") <= LONGEST_SAMPLED).withColumn("h", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)))
+def _forms(text: str) -> list[bytes]:
+    """What is learned of a text: the whole and its beginnings; of one without a letter nothing."""
+    if not has_letter(text):
+        return []
+    whole = _lowered(text)
+    return list(dict.fromkeys([whole, *(whole[:n] for n in SNIPPETS)]))
+
+
+_ROWS = "i int, x binary"
+
+
+def _rows(numbers, vectors) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([v.tobytes() for v in vectors], pa.binary())], names=["i", "x"])
+
+
+def _sketched(root_weights: dict[str, float]):
+    """Landmarks of texts that are dealt by landmark: each comes whole from one task."""
+
+    def run(batches):
+        held = {}
+        for batch in batches:
+            for i, h, text, lang in zip(*(batch.column(c) for c in ("i", "h", "text", "lang")), strict=True):
+                i, h = i.as_py(), h.as_py()
+                for k, t in enumerate(_forms(text.as_py())):
+                    if i not in held:
+                        held[i] = np.zeros(GRAMS, np.float32)
+                    held[i] += matrix([t])[0] * ((1 - 2 * (h >> k & 1)) * root_weights[lang.as_py()])
+        for i, z in held.items():
+            yield _rows([i], [z])
+
+    return run
+
+
+def _regressed(sent):
+    """A task's sums for the regression, by feature."""
+
+    def run(batches):
+        z, root, languages, weights = sent.value
+        marks, number, total = Landmarks(z, root), {x: i for i, x in enumerate(languages)}, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                forms = [(t, number[lang]) for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True) for t in _forms(text)]
+                if forms:
+                    texts, of = map(list, zip(*forms, strict=True))
+                    sums = marks.sums(texts, of, weights[of], len(languages))
+                    total = sums if total is None else total + sums
+        if total is not None:
+            yield _rows(range(len(total)), total)
+
+    return run
+
+
+def _added(batches):
+    held = {}
+    for batch in batches:
+        for i, x in zip(batch.column("i").to_pylist(), batch.column("x").to_pylist(), strict=True):
+            held[i] = held.get(i, 0) + np.frombuffer(x)
+    if held:
+        yield _rows(list(held), held.values())
+
+
+def _stacked(rows: DataFrame, dtype) -> np.ndarray:
+    found = rows.toArrow().sort_by("i")
+    return np.array([np.frombuffer(x, dtype) for x in found.column("x").to_pylist()], dtype)
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    return docs.where("text IS NOT NULL AND lang IS NOT NULL")
+
+
+def train(docs: DataFrame) -> Model:
+    """A model from all labelled rows, all languages of the same weight. Rows without text
+    or language have no part, and texts without a letter have none but in their language's
+    number of rows. Two passes: landmarks, then the sums of the regression."""
+    labelled = _labelled(docs)
     found = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not found:
+    languages = sorted(found)
+    weights = np.array([1 / found[x] for x in languages])
+    h = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    dealt = labelled.select(F.pmod(h, F.lit(LANDMARKS)).cast("int").alias("i"), F.pmod(F.shiftright(h, 32), F.lit(1 << 16)).cast("int").alias("h"), "text", "lang")
+    root_weights = dict(zip(languages, np.sqrt(weights).tolist(), strict=True))
+    z = _stacked(dealt.repartition("i").mapInArrow(_sketched(root_weights), _ROWS), np.float32)
+    if not len(z):
         return fit([], [])
-    each = max(1, sample // len(found))
-    limits = F.create_map(*[F.lit(x) for lang, n in sorted(found.items()) for x in (lang, int((1 << 20) * min(1.0, 1.5 * (each + 20) / n)) + 1)])
-    rows = labelled.where(F.col("h") < limits[F.col("lang")]).select("lang", "h", "doc_id", "text").orderBy("h", "doc_id", "lang", "text").limit(4 * sample).toPandas()
-    rows = rows.groupby("lang", sort=True).head(each)
-    texts, labels = [], []
-    for lang, text in zip(rows["lang"], rows["text"], strict=True):
-        if has_letter(text):
-            whole = _lowered(text)
-            for t in dict.fromkeys([whole, *(whole[:n] for n in SNIPPETS)]):
-                texts.append(t)
-                labels.append(lang)
-    return fit(texts, labels)
+    marks = Landmarks.of(z)
+    sent = docs.sparkSession.sparkContext.broadcast((marks.z, marks.root, languages, weights))
+    sums = labelled.select("text", "lang").mapInArrow(_regressed(sent), _ROWS)
+    total = _stacked(sums.repartition("i").mapInArrow(_added, _ROWS), np.float64)
+    return marks.solved(total, languages, RIDGE)
+
+
+def least(docs: DataFrame, model: Model) -> float:
+    """The least score that any labelled text, or a learned beginning of it, gets for its own language."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.constants))
+
+    @F.arrow_udf("double")
+    def own(texts: pa.Array, langs: pa.Array) -> pa.Array:
+        model, out = Model(*sent.value), []
+        for text, lang in zip(texts, langs, strict=True):
+            forms = _forms(text.as_py())
+            out.append(float(model.scores(forms)[:, model.languages.index(lang.as_py())].min()) if forms else None)
+        return pa.array(out, pa.float64())
+
+    found = _labelled(docs).select(own("text", "lang").alias("s")).agg(F.min("s")).first()[0]
+    return 0.0 if found is None else found
 
 
 def told(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
@@ -172,14 +280,15 @@ def accepted(docs: DataFrame, modulus: int = 5, part: float = REJECTED) -> DataF
     """docs, with all their columns, without the rows whose language cannot be told.
 
     Those are rows whose text is null, empty or has no letter, and rows whose best score
-    is below ``part`` of the least that any text of the sample gets for its own language
+    is below ``part`` of the least that any text learned from gets for its own language
     (so the bound moves with the number of languages and what was learned of them).
     With nothing to learn from, no language can be told and no row is left. Rows that
     repeat are judged alike; an empty table gives an empty table.
     """
-    model = train(docs.where(common.remainder("doc_id", modulus) != 0))
+    learning = docs.where(common.remainder("doc_id", modulus) != 0)
+    model = train(learning)
     judged = teller(docs.sparkSession, model)(F.col("text"))
-    return docs.where((judged["lang"] != UNDETERMINED) & (judged["score"] >= part * model.least))
+    return docs.where((judged["lang"] != UNDETERMINED) & (judged["score"] >= part * least(learning, model)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -433,6 +433,40 @@ def test_fit_is_kernel_ridge_regression():
     assert np.allclose(m.scores(texts), dense, atol=2e-3)
 
 
+def test_languages_are_learned_from_texts_of_any_length(spark, prose):
+    """A language of which there are only texts of over 64 KB is learned like the others."""
+    long = " ".join(f"жук{i % 977} лес{i % 89} дом" for i in range(5000))
+    assert len(long.encode()) > 1 << 16
+    rows = [*prose[:60], *((700 + i, f"{i} {long[i:]}", "ru", "s0") for i in range(8))]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {got[700 + i] for i in range(8)} == {"ru"}
+
+
+def test_training_counts_every_labelled_text(spark, monkeypatch):
+    """Landmarks, sums of the regression and the least score, of over 2,400 texts, in plain Python over all of them."""
+    rows = [(i, f"{'river house' if i % 5 else 'fluss haus'} {'ab cd ef gh'[i % 9 :]} {i * 7919 % 101:b} " + "morning " * (i % 40), "en" if i % 5 else "de", "s") for i in range(2700)]
+    docs = spark.createDataFrame([*rows, (9001, None, "en", "s"), (9002, "no label", None, "s")], SCHEMA).repartition(3)
+    seen = []
+    real = language_id.Landmarks.solved
+    monkeypatch.setattr(language_id.Landmarks, "solved", lambda self, sums, *a: seen.append((self, sums)) or real(self, sums, *a))
+    model = language_id.train(docs)
+    (marks, sums), n = seen[0], {"de": 540, "en": 2160}
+    forms = [(t, lang) for _, text, lang, _ in rows for t in language_id._forms(text)]
+    assert len(forms) > len(rows)
+    phi = np.vstack([marks.features([t for t, _ in forms[i : i + 256]]) for i in range(0, len(forms), 256)])
+    y = np.array([[lang == x for x in ("de", "en")] for _, lang in forms], float)
+    weights = np.array([1 / n[lang] for _, lang in forms])
+    assert np.allclose(sums, (phi * weights[:, None]).T @ np.hstack([phi, y]), rtol=1e-4, atol=1e-6)
+    h = {r["doc_id"]: (r["i"], r["h"]) for r in docs.selectExpr("doc_id", f"pmod(xxhash64(string(doc_id), text), {language_id.LANDMARKS}) i", "pmod(shiftright(xxhash64(string(doc_id), text), 32), 65536) h").collect()}
+    place, signed = {i: at for at, i in enumerate(sorted({h[r[0]][0] for r in rows}))}, np.zeros_like(marks.z)
+    for d, text, lang, _ in rows:
+        for k, t in enumerate(language_id._forms(text)):
+            signed[place[h[d][0]]] += language_id.matrix([t])[0] * (1 - 2 * (h[d][1] >> k & 1)) / np.sqrt(n[lang])
+    assert np.allclose(marks.z, signed, atol=1e-5)
+    own = [model.scores([t])[0, model.languages.index(lang)] for t, lang in forms]
+    assert language_id.least(docs, model) == pytest.approx(min(own), abs=1e-5)
+
+
 def test_cosine_hash_against_plain_sums():
     rows = np.random.default_rng(1).integers(0, 256, (96, 24)).astype(np.uint8)
     up = np.repeat(np.repeat(rows.astype(float), 4, 1), 1, 0)  # 24 columns as 96, so each cell has 3 by 3 of equal parts
