@@ -94,10 +94,11 @@ class _Mixer:
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The id of each lane whose interval holds value."""
-        at = (((value - self.named + 1) << BITS) - 1) // self.rest
-        ids = np.searchsorted(self.cum, at, "right") - 1
-        ids = np.where(value < self.named, self.id1, ids)
-        return np.where(value < self.named2, self.id2, ids)
+        ids = np.where(value < self.named2, self.id2, self.id1)
+        lanes = np.flatnonzero(value >= self.named)
+        at = (((value[lanes] - self.named[lanes] + 1) << BITS) - 1) // self.rest[lanes]
+        ids[lanes] = np.searchsorted(self.cum, at, "right") - 1
+        return ids
 
     def update(self, ids: np.ndarray) -> None:
         kind = np.where(self.hit2, 0, 2 - self.hit1)

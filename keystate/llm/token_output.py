@@ -22,10 +22,12 @@ from . import common, range_coder, tokens
 VOCABULARY, END = "word_bpe_49k.json", 1
 #: A block is closed at so many ids; one longer document makes a larger block.
 BLOCK_IDS = 1 << 20
+#: Bytes of text that are cut at once: a worker holds some fifteen times as much while it does.
+PORTION = 4 << 20
 BLOCKS = "part int, first long, n_ids long, data binary"
 
 
-def _encode(vocabulary: str, end: int, block_ids: int):
+def _encode(vocabulary: str, end: int, block_ids: int, portion: int = PORTION):
     def run(batches):
         cache = tokens.pieces(tokens.WordPieces, vocabulary)
         part = TaskContext.get().partitionId()
@@ -36,7 +38,7 @@ def _encode(vocabulary: str, end: int, block_ids: int):
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first]), pa.array([n]), pa.array([data], pa.binary())], names=["part", "first", "n_ids", "data"])
 
         for batch in batches:
-            for rows in tokens.portions(batch):
+            for rows in tokens.portions(batch, most=portion):
                 ids, sizes = cache.column(rows.column("text"))
                 ends = np.cumsum(sizes)
                 ids, ends = np.insert(ids, ends, end), ends + np.arange(1, len(ends) + 1)
@@ -51,6 +53,7 @@ def _encode(vocabulary: str, end: int, block_ids: int):
                         first, since = first + n, int(ends[i])
                         held, doc_ids, lengths, n = [], [], [], 0
                 held.append(ids[since:])
+            pa.default_memory_pool().release_unused()
         if doc_ids:
             yield block()
 

@@ -102,9 +102,11 @@ class Pieces:
     def gathered(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of lists of pieces one after the other, and how many each list has: each different piece is looked up once."""
         words = lists.flatten().dictionary_encode()
-        each, at = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
-        spare = self.add(missing) if (missing := set(each).difference(self.known)) else []
-        coded = [self.known[w] for w in each]
+        each, at = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(zero_copy_only=False)
+        coded, spare = list(map(self.known.get, each)), []
+        if missing := {w for w, c in zip(each, coded, strict=True) if c is None}:
+            spare = self.add(missing)
+            coded = [self.known[w] if c is None else c for w, c in zip(each, coded, strict=True)]
         for w in spare:
             del self.known[w]
         flat = np.frombuffer(b"".join(coded), "<u4")

@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from keystate.llm import token_counts, tokens
+from keystate.llm import range_coder, token_counts, tokens
 
 ALPHABET = list("abcXYZ019 \n\t.,'!-") + ["  ", "\n\n", " \n", "é", "ß", "日本", " ", " ", "​", "́", "<|endoftext|>", "\x00", "\x01", "\x85", "½", "²", "▁", "'s", ' "', "﻿", "　", "\U0001f600"]
 
@@ -33,3 +33,26 @@ def test_counts_of_pieces():
     texts = [t or "" for t in strings(4000)]
     library = sentencepiece.SentencePieceProcessor(model_file=tokens.vocabulary("piece_bpe_32k.model"))
     assert token_counts.CountPieces("piece_bpe_32k.model").counts(texts) == [len(library.encode(t)) for t in texts]
+
+
+def test_ids_are_cut_in_small_portions_and_memory_is_given_back(monkeypatch):
+    """A worker of op2 holds some fifteen times the text that it cuts at once."""
+    from keystate.llm import token_output
+
+    seen, given = [], []
+    column = tokens.WordPieces.column
+    monkeypatch.setattr(tokens.WordPieces, "column", lambda self, texts: seen.append(texts.nbytes) or column(self, texts))
+    monkeypatch.setattr(token_output, "TaskContext", type("T", (), {"get": classmethod(lambda c: c), "partitionId": classmethod(lambda c: 0)}))
+    pool = type("Pool", (), {"release_unused": lambda self: given.append(1)})()
+    monkeypatch.setattr(token_output.pa, "default_memory_pool", lambda: pool)
+    texts = [f"word{i % 97} and a line of others " * 20_000 for i in range(24)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(24), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    blocks = [range_coder.decode_block(b.column("data")[0].as_py()) for b in token_output._encode("word_bpe_49k.json", 1, 1 << 20)([batch])]
+    assert max(seen) <= 2 * token_output.PORTION and given
+    own = {}
+    for ids, lengths, all_ids in blocks:
+        own |= dict(zip(ids, np.split(all_ids, np.cumsum(lengths)[:-1]), strict=True))
+    library = tokens.pieces(tokens.WordPieces, "word_bpe_49k.json").tokenizer
+    assert sorted(own) == list(range(24))
+    for i in (0, 23):
+        assert own[i].tolist() == [*library.encode(texts[i], add_special_tokens=False).ids, 1]
