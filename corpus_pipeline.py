@@ -18,6 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learned. Columns stay as they are; repeated rows are judged alike; empty gives empty.
     """
     common.ship(spark)
+    common.give_back(spark)
     return language_id.accepted(docs)
 
 
@@ -28,6 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays, the same in every run. Columns stay as they are; empty gives empty.
     """
     common.ship(spark)
+    common.give_back(spark)
     return simhash.deduplicated(docs)
 
 
@@ -37,6 +39,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is a source, a null text has no words, rows that repeat are ranked each
     by itself. Columns stay as they are; empty gives empty.
     """
+    common.give_back(spark)
     return mixing.repeated(docs)
 
 
@@ -47,6 +50,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty gives empty.
     """
     common.ship(spark)
+    common.give_back(spark)
     return packing.pack(docs, cache_pieces=CACHE_PIECES, portion=PORTION)
 
 

@@ -3,12 +3,17 @@ shipping of the package to the workers, and small column helpers."""
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,9 +65,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    give_back(spark, every=GIVEN_BACK)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Seconds between two times that ``stored`` gives memory back, and when it was last.
+GIVEN_BACK = 5.0
+_given_back = [0.0]
+
+
+def give_back(spark: SparkSession, every: float = 0.0) -> bool:
+    """Give the system the memory that is free, but held by the allocators of the driver's
+    Python and JVM; False if the last time is less than ``every`` seconds ago, or the JVM
+    has no such command. Its compiler and network buffers leave hundreds of MB so."""
+    if time.monotonic() - _given_back[0] < every:
+        return False
+    gc.collect()  # also what Python still refers to in the JVM
+    pa.default_memory_pool().release_unused()
+    done, jvm = False, spark._jvm
+    with contextlib.suppress(Py4JError):
+        # by reflection, as Py4J does not see the methods of a class that its module keeps to itself
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        asked = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        asked[0], asked[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), asked)
+        done = True
+    _given_back[0] = time.monotonic()
+    return done
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each application, and bound their batches."""
     if _BATCHES not in spark.conf.getAll:

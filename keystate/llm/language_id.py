@@ -213,6 +213,7 @@ def train(docs: DataFrame) -> Model:
     sent = docs.sparkSession.sparkContext.broadcast((marks.z, marks.root, languages, weights))
     sums = labelled.select("text", "lang").mapInArrow(_regressed(sent), _ROWS)
     total = _stacked(sums.repartition("i").mapInArrow(_added, _ROWS), np.float64)
+    sent.destroy()  # the landmarks, which no one needs any more
     return marks.solved(total, languages, RIDGE)
 
 
@@ -229,6 +230,7 @@ def least(docs: DataFrame, model: Model) -> float:
         return pa.array(out, pa.float64())
 
     found = _labelled(docs).select(own("text", "lang").alias("s")).agg(F.min("s")).first()[0]
+    sent.destroy()
     return 0.0 if found is None else found
 
 
@@ -287,6 +289,7 @@ def accepted(docs: DataFrame, modulus: int = 5, part: float = REJECTED) -> DataF
     """
     learning = docs.where(common.remainder("doc_id", modulus) != 0)
     model = train(learning)
+    common.give_back(docs.sparkSession)
     judged = teller(docs.sparkSession, model)(F.col("text"))
     return docs.where((judged["lang"] != UNDETERMINED) & (judged["score"] >= part * least(learning, model)))
 

@@ -9,7 +9,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from keystate.llm import tokens
+from keystate.llm import common, language_id, tokens
 
 from .conftest import SCHEMA
 
@@ -127,3 +127,18 @@ def test_stages_against_plain_python(spark, prose, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
     assert sorted(map(key, whole)) == sorted(map(key, after))
+
+
+def test_memory_that_is_free_goes_back_before_a_stage_and_landmarks_after_training(spark, prose, monkeypatch):
+    """Else the driver keeps what its allocators and earlier stages held, run after run."""
+    docs, calls, sent = spark.createDataFrame(prose[:40], SCHEMA), [], []
+    give_back, broadcast = common.give_back, spark.sparkContext.broadcast
+    monkeypatch.setattr(common, "give_back", lambda *a, **b: calls.append(give_back(*a, **b)))
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(broadcast(value)) or sent[-1])
+    assert give_back(spark) and not give_back(spark, every=60)
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        n = len(calls)
+        stage(spark, docs, "")
+        assert calls[n]
+    language_id.train(docs)
+    assert len(sent) == 1 and not sent[0]._jbroadcast.isValid()
