@@ -51,35 +51,43 @@ def expected_counts(ids: np.ndarray, offsets: np.ndarray, p: Parameters, own: tu
     firsts, order, running = _in_step(offsets)
     k = len(p.start)
     lo, hi = (x[order] for x in own) if own else (np.zeros(len(order), np.int64), np.diff(offsets)[order])
-
-    def counted(t: int, n: int) -> np.ndarray:
-        return ((t >= lo[:n]) & (t < hi[:n])).astype(p.emit.dtype)
-
-    alphas, scales, codes, log_p = [], [], [], 0.0
-    alpha = None
-    for t, n in enumerate(running.tolist()):
-        code = ids[firsts[:n] + t]
-        alpha = (p.start if alpha is None else alpha[:n] @ p.move) * p.emit[code]
-        scale = alpha.sum(1)
+    # all tokens step by step: what does not depend on the step before is done for all at once
+    ends = np.cumsum(running)
+    since = ends - running
+    step = np.repeat(np.arange(len(running)), running)
+    row = np.arange(len(step)) - since[step]
+    code = ids[firsts[row] + step]
+    counted = ((step >= lo[row]) & (step < hi[row])).astype(p.emit.dtype)
+    cuts = [slice(a, b) for a, b in zip(since.tolist(), ends.tolist(), strict=True)]
+    ones = np.ones(k, p.emit.dtype)
+
+    e = p.emit[code]
+    alphas, scales = np.empty_like(e), np.empty(len(e), e.dtype)
+    for t, now in enumerate(cuts):
+        alpha = alphas[now]
+        if t:
+            np.dot(alphas[cuts[t - 1]][: len(alpha)], p.move, out=alpha)
+            alpha *= e[now]
+        else:
+            np.multiply(e[now], p.start, out=alpha)
+        scale = np.dot(alpha, ones, out=scales[now])
         alpha /= scale[:, None]
-        alphas.append(alpha)
-        scales.append(scale)
-        codes.append(code)
-        log_p += float((np.log(scale) * counted(t, n)).sum())
-    moves, beta = np.zeros((k, k)), None
-    for t in range(len(running) - 1, -1, -1):
-        n = int(running[t])
-        now = np.ones((n, k), p.emit.dtype)
-        if beta is not None:
-            ahead = p.emit[codes[t + 1]] * beta / scales[t + 1][:, None]
-            m = len(ahead)
-            moves += alphas[t][:m].T @ (ahead * counted(t + 1, m)[:, None])
-            now[:m] = ahead @ p.move.T
-        beta = now
-        alphas[t] = alphas[t] * beta * counted(t, n)[:, None]  # the occupancy, which is all that is left to need
-    occupied, code = np.concatenate(alphas), np.concatenate(codes)
-    emissions = np.stack([np.bincount(code, occupied[:, j], len(p.emit)) for j in range(k)], axis=1)
-    return alphas[0].sum(0, dtype=np.float64), moves * p.move, emissions, log_p
+    log_p = float(np.log(scales) @ counted)
+
+    e /= scales[:, None]
+    betas, back = np.ones_like(e), np.ascontiguousarray(p.move.T)
+    moves = np.zeros((k, k))
+    for t in range(len(cuts) - 1, 0, -1):
+        ahead = e[cuts[t]]
+        ahead *= betas[cuts[t]]
+        before = slice(cuts[t - 1].start, cuts[t - 1].start + len(ahead))
+        np.dot(ahead, back, out=betas[before])
+        ahead *= counted[cuts[t], None]
+        moves += alphas[before].T @ ahead
+    betas *= alphas
+    betas *= counted[:, None]  # the occupancy, which is all that is left to need
+    emissions = np.stack([np.bincount(code, betas[:, j], len(p.emit)) for j in range(k)], axis=1)
+    return betas[cuts[0]].sum(0, dtype=np.float64), moves * p.move, emissions, log_p
 
 
 def maximised(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, shares: np.ndarray, weight: float) -> Parameters:

@@ -39,7 +39,7 @@ WINDOW, AROUND = 512, 24
 #: Added to every count, and the emissions in overall shares that eke out a state's.
 ADDED, EKED = 0.1, 50.0
 #: Distinct words that a task tallies before it hands them on, and tokens whose recursion
-#: runs at once: training keeps every token's states (some 200 bytes each), scoring none.
+#: runs at once: training keeps every token's states (some 250 bytes each), scoring none.
 TALLY, AT_ONCE, TRAINED_AT_ONCE = 300_000, 1_000_000, 250_000
 END_CLASS = FREQUENT + ENDINGS
 CLASSES = END_CLASS + 1

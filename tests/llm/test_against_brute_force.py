@@ -547,3 +547,42 @@ def test_licence_files_as_shipped(spark):
     for r in licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect():
         expected = r["doc_id"].rsplit(" ", 1)[0]
         assert r["licences"] == ("" if expected == "none" else expected), r["doc_id"]
+
+
+def test_expected_counts_take_all_emissions_at_once_and_agree_with_every_path():
+    """Emissions were gathered at each step, there and back."""
+    from itertools import product
+
+    from keystate.llm import hmm
+
+    class Emit:
+        def __init__(self, x):
+            self.x, self.dtype, self.taken = x, x.dtype, 0
+
+        def __len__(self):
+            return len(self.x)
+
+        def __getitem__(self, at):
+            self.taken += 1
+            return self.x[at]
+
+    rng = np.random.default_rng(4)
+    k, classes = 2, 3
+    start, move, emit = rng.dirichlet([1] * k), rng.dirichlet([1] * k, k), rng.dirichlet([1] * classes, k).T
+    ids, offsets, lo, hi = np.array([0, 2, 1, 1, 2, 0, 1, 2]), np.array([0, 3, 7, 8]), np.array([0, 1, 0]), np.array([2, 3, 1])
+    starts, moves, emissions, log_p = np.zeros(k), np.zeros((k, k)), np.zeros((classes, k)), None
+    for a, b, own, end in zip(offsets, offsets[1:], lo, hi, strict=False):
+        x = ids[a:b]
+        paths = {z: start[z[0]] * np.prod([move[i, j] for i, j in zip(z, z[1:], strict=False)]) * np.prod(emit[x, list(z)]) for z in product(range(k), repeat=len(x))}
+        whole = sum(paths.values())
+        for z, p in paths.items():
+            starts[z[0]] += p / whole * (own == 0)
+            for t in range(own, end):
+                emissions[x[t], z[t]] += p / whole
+                if t:
+                    moves[z[t - 1], z[t]] += p / whole
+    sent = Emit(emit)
+    s, m, e, log_p = hmm.expected_counts(ids, offsets, hmm.Parameters(start, move, sent), (lo, hi))
+    for found, expected in ((s, starts), (m, moves), (e, emissions)):
+        np.testing.assert_allclose(found, expected, rtol=1e-12, atol=1e-15)
+    assert sent.taken == 1
