@@ -143,7 +143,8 @@ class WordPieces(Pieces):
     run = re.compile(r"[a-zß-öø-ÿ]+")
 
     #: A mark behind a plain letter starts a run of marks, so a blank before it changes nothing.
-    marks = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?])"
+    #: Those that special strings are made of stay, as do quotes.
+    marks = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!#$%&()*+,\-./:;=?@\[\\\]^_`{}~])"
 
     def cut(self, text: str) -> list[str]:
         return text.replace("\n", " ").split(" ")

@@ -56,3 +56,37 @@ def test_ids_are_cut_in_small_portions_and_memory_is_given_back(monkeypatch):
     assert sorted(own) == list(range(24))
     for i in (0, 23):
         assert own[i].tolist() == [*library.encode(texts[i], add_special_tokens=False).ids, 1]
+
+
+def test_marks_behind_letters_are_cut_off_by_columns():
+    """A word is kept once, whatever marks follow it; the ids stay those of the library, next to special strings and quotes as well."""
+    marks, rnd = [chr(c) for c in range(33, 127) if not chr(c).isalnum()], random.Random(3)
+    parts = [*marks, *marks, *"aZé0", "É", "Σ", "̸", "́", " ", "'s", "'LL", "<|", "|>", "endoftext", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(30))) for _ in range(4000)]
+    texts += [f"{a}{m}{b}" for m in marks for a in "aé0" for b in ("", "b", "̸", m, "'s")]
+    library = Tokenizer.from_file(tokens.vocabulary("word_bpe_49k.json"))
+    for some in (texts, [t for t in texts if "<|" not in t]):
+        expected = [library.encode(t, add_special_tokens=False).ids for t in some]
+        ids, n = tokens.WordPieces("word_bpe_49k.json").column(pa.array(some, pa.string()))
+        assert n.tolist() == list(map(len, expected)) and ids.tolist() == [i for e in expected for i in e]
+    cache = tokens.WordPieces("word_bpe_49k.json")
+    cache.column(pa.array([f"river{m * k}" for m in "#$%&*-/=" for k in (1, 3)]))
+    assert [w for w in cache.known if "river" in w] == ["river"]
+
+
+def test_the_decoder_searches_few_lanes(monkeypatch):
+    """Order 0 is read from a guide; only lanes between its marks search, and find the same."""
+    rnd = np.random.default_rng(4)
+    ids = np.where(rnd.random(400_000) < 0.5, rnd.integers(0, 300, 400_000), rnd.integers(0, 49_000, 400_000) ** 2 // 49_000)
+    searched, search = [], np.searchsorted
+    monkeypatch.setattr(range_coder.np, "searchsorted", lambda a, v, side: searched.append(len(v)) or search(a, v, side))
+    for coded in (ids % 2000 * 20, ids[:100] % 3, np.zeros(9, int)):
+        assert range_coder.decode_block(range_coder.encode_block([7], [len(coded)], coded))[2].tolist() == coded.tolist()
+    assert sum(searched) < 0.2 * len(ids)
+    for alphabet in (1, 2, 255, 49_384, range_coder.TOTAL // range_coder.FLOOR // 2):
+        mixer = range_coder._Mixer(alphabet, 1)
+        mixer.seen += rnd.integers(0, 9, alphabet) ** 6 * (rnd.random(alphabet) < 0.1)
+        mixer.total = int(mixer.seen.sum())
+        mixer.rebuild()
+        at = np.concatenate([mixer.cum[:-1], mixer.cum[1:] - 1, rnd.integers(0, range_coder.TOTAL, 9999)])
+        assert (mixer.order0(at) == search(mixer.cum, at, "right") - 1).all()
