@@ -22,8 +22,8 @@ from . import common, range_coder, tokens
 VOCABULARY, END = "word_bpe_49k.json", 1
 #: A block is closed at so many ids; one longer document makes a larger block.
 BLOCK_IDS = 1 << 20
-#: Bytes of text that are cut at once: a worker holds some fifteen times as much while it does.
-PORTION = 4 << 20
+#: Bytes of text that are cut at once: a worker holds some ten times as much while it does.
+PORTION = 8 << 20
 BLOCKS = "part int, first long, n_ids long, data binary"
 
 

@@ -102,23 +102,19 @@ class Pieces:
     def gathered(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of lists of pieces one after the other, and how many each list has: each different piece is looked up once."""
         words = lists.flatten().dictionary_encode()
-        each, at = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(zero_copy_only=False)
+        each = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         coded, spare = list(map(self.known.get, each)), []
-        if missing := {w for w, c in zip(each, coded, strict=True) if c is None}:
-            spare = self.add(missing)
-            coded = [self.known[w] if c is None else c for w, c in zip(each, coded, strict=True)]
+        if missing := [i for i, c in enumerate(coded) if c is None]:
+            spare = self.add({each[i] for i in missing})
+            for i in missing:
+                coded[i] = self.known[each[i]]
         for w in spare:
             del self.known[w]
-        flat = np.frombuffer(b"".join(coded), "<u4")
-        n = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        starts = np.cumsum(n) - n
-        of_word = n[at]
-        ends = np.cumsum(of_word)
-        total = int(ends[-1]) if len(ends) else 0
-        kind = np.int32 if max(total, len(flat)) < 1 << 30 else np.int64
-        ids = flat[np.arange(total, dtype=kind) + np.repeat((starts[at] - ends + of_word).astype(kind), of_word)]
-        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        return ids, np.diff(bounds)
+        taken = pa.array(coded, pa.large_binary()).take(words.indices)
+        _, offsets, data = taken.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(taken) + 1) // 4
+        ids = np.frombuffer(data, "<u4", int(ends[-1])) if data else np.zeros(0, "<u4")
+        return ids, np.diff(ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
 
 
 def portions(batch: pa.RecordBatch, text: str = "text", most: int = AT_ONCE):

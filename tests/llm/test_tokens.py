@@ -1,6 +1,7 @@
 """Pieces against the libraries, over strings of all kinds of white space, marks, special strings and characters."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -90,3 +91,24 @@ def test_the_decoder_searches_few_lanes(monkeypatch):
         mixer.rebuild()
         at = np.concatenate([mixer.cum[:-1], mixer.cum[1:] - 1, rnd.integers(0, range_coder.TOTAL, 9999)])
         assert (mixer.order0(at) == search(mixer.cum, at, "right") - 1).all()
+
+
+def test_ids_are_gathered_without_numbers_of_each_id():
+    """Arrow copies the ids of each word; a portion is a whole batch of usual size, so its words are looked up once."""
+    from keystate.llm import common, token_output
+
+    cache = tokens.WordPieces("word_bpe_49k.json")
+    texts = pa.array([" ".join(["qzxkvjwqbfhgzzkxqjv" * 2, "xxkqzvvjwpqfgbhhzqjk" * 2] * 4000), "", None, "a"] * 4)
+    cache.column(texts)
+    tracemalloc.start()
+    ids, n = cache.column(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 * len(ids) and n.sum() == len(ids) > 500_000
+    own = np.frombuffer(cache.ids([texts[0].as_py()])[0], "<u4")
+    assert n.tolist() == [len(own), 0, 0, 1] * 4 and (ids[: len(own)] == own).all()
+    for empty in (["", None], []):  # no word at all, and words only before the slice
+        ids, n = cache.column(pa.array(["before", *empty]).slice(1))
+        assert ids.tolist() == [] and n.tolist() == [0] * len(empty)
+    batch = pa.RecordBatch.from_arrays([pa.array(["word " * 200_000] * 8)], names=["text"])
+    assert batch.nbytes < common.BATCH_BYTES and len(list(tokens.portions(batch, most=token_output.PORTION))) == 1
