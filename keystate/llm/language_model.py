@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, hmm
+from . import common, hmm, tokens
 
 #: Words with a class of their own, shared classes, hidden states, rounds over all learning documents.
 FREQUENT, ENDINGS, STATES, ROUNDS = 16_384, 2_048, 8, 7
@@ -41,6 +41,8 @@ ADDED, EKED = 0.1, 50.0
 #: Distinct words that a task tallies before it hands them on, and tokens whose recursion
 #: runs at once: training keeps every token's states (some 250 bytes each), scoring none.
 TALLY, AT_ONCE, TRAINED_AT_ONCE = 300_000, 1_000_000, 250_000
+#: Bytes of text that a worker cuts into words at once; a word costs some 100 bytes meanwhile.
+CUT = 2 << 20
 END_CLASS = FREQUENT + ENDINGS
 CLASSES = END_CLASS + 1
 
@@ -57,16 +59,33 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, n
 
 
+def _cut(batch: pa.RecordBatch):
+    """The batch in portions of ``CUT`` bytes of text: (rows, their words, how many each text has)."""
+    for part in tokens.portions(batch, most=CUT):
+        yield part, *_words(part.column("text"))
+
+
+def _joined(words: list[pa.Array], batch: pa.RecordBatch) -> pa.ChunkedArray:
+    return pa.chunked_array(words, batch.column("text").type)
+
+
+def _returning(batches):
+    """The batches; after each, what Arrow holds in reserve goes back to the system."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+
+
 def _tally(batches):
     held, n = [], 0
 
     def handed():
-        both = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+        # by one thread, as each would have a table of its own
+        both = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
         return both.select(["word", "n_sum"]).rename_columns(["word", "n"])
 
-    for batch in batches:
-        words, _ = _words(batch.column("text"))
-        counts = pc.value_counts(words)
+    for batch in _returning(batches):
+        counts = pc.value_counts(_joined([words for _, words, _ in _cut(batch)], batch))
         held.append(pa.table({"word": counts.field(0), "n": counts.field(1)}))
         n += len(counts)
         if n > 2 * TALLY:
@@ -101,14 +120,17 @@ class Table:
     def __init__(self, words: pa.Array, counts: np.ndarray):
         self.words, self.counts = words, counts
 
-    def classes(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Class of each word, and its place in the table (-1: not in it)."""
-        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    def places(self, words: pa.ChunkedArray) -> np.ndarray:
+        """Place of each word in the table (-1: not in it). Each call hashes the whole table."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+
+    def classes(self, words: pa.Array, at: np.ndarray) -> np.ndarray:
+        """Class of each word, of which the places are known."""
         code = at.copy()
         other = (at < 0) | (at >= FREQUENT)
         if other.any():
             code[other] = FREQUENT + _ending(words.filter(pa.array(other)))
-        return code, at
+        return code
 
 
 def _coder(sent):
@@ -118,11 +140,13 @@ def _coder(sent):
     def run(batches):
         table, end_count = sent.value
         logs = np.log10(table.counts + ADDED)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                words, n = _words(part.column("text"))
-                code, place = table.classes(words)
+        for batch in _returning(batches):
+            parts = list(_cut(batch))
+            places, done = table.places(_joined([words for _, words, _ in parts], batch)), 0
+            for part, words, n in parts:
+                place = places[done : done + len(words)]
+                done += len(words)
+                code = table.classes(words, place)
                 ends = np.cumsum(n)
                 of = np.repeat(np.arange(len(n)), n)
                 known = place >= 0
@@ -147,9 +171,9 @@ def _coder(sent):
 def _portions(batch: pa.RecordBatch, most: int):
     """The batch's texts in portions of so many tokens: (list of code arrays, documents from, to)."""
     held, n, since = [], 0, 0
-    codes = batch.column("codes").to_pylist()
+    codes = batch.column("codes")
     for i, c in enumerate(codes):
-        held.append(np.frombuffer(c, "<i4"))
+        held.append(np.frombuffer(c.as_buffer(), "<i4"))
         n += len(held[-1])
         if n >= most or i == len(codes) - 1:
             yield held, since, i + 1
@@ -168,6 +192,15 @@ def _parts(texts: list[np.ndarray], window: int = WINDOW, around: int = AROUND)
     return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]), (np.array(lo), np.array(hi))
 
 
+def _sized(codes: np.ndarray, offsets: np.ndarray, own: tuple[np.ndarray, np.ndarray], most: int):
+    """Training sequences in like portions of about so many tokens, however long the texts are."""
+    size = -(-len(codes) // max(1, round(len(codes) / most)))
+    part = (offsets[1:] - 1) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield codes[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], (own[0][a:b], own[1][a:b])
+
+
 _COUNTS = "class int, " + ", ".join(f"s{j} double" for j in range(STATES))
 
 
@@ -178,13 +211,13 @@ def _expect(sent):
         p = hmm.Parameters(*sent.value)
         total = np.zeros((len(p.emit), STATES))
         starts, moves = np.zeros(STATES), np.zeros((STATES, STATES))
-        for batch in batches:
+        for batch in _returning(batches):
             for texts, _, _ in _portions(batch, TRAINED_AT_ONCE):
-                codes, offsets, own = _parts(texts)
-                s, m, e, _ = hmm.expected_counts(codes, offsets, p, own)
-                starts += s
-                moves += m
-                total += e
+                for codes, offsets, own in _sized(*_parts(texts), TRAINED_AT_ONCE):
+                    s, m, e, _ = hmm.expected_counts(codes, offsets, p, own)
+                    starts += s
+                    moves += m
+                    total += e
         some = np.flatnonzero(total.any(1))
         classes = np.concatenate([some, -1 - np.arange(STATES), [-100]]).astype(np.int32)
         rows = np.vstack([total[some], moves, starts[None, :]])
@@ -196,7 +229,7 @@ def _expect(sent):
 def _score(sent):
     def run(batches):
         p = hmm.Parameters(*sent.value)
-        for batch in batches:
+        for batch in _returning(batches):
             for texts, lo, hi in _portions(batch, AT_ONCE):
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
                 value = hmm.log_likelihoods(np.concatenate(texts), offsets, p) / np.log(10)

@@ -1,9 +1,12 @@
 """Cases in which a shorter way would do less than the whole job."""
 
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from keystate.llm import mixing, multiset, simhash
+from keystate.llm import hmm, language_model, mixing, multiset, simhash
 
 from .conftest import SCHEMA
 from .test_pipeline import extra_copies
@@ -111,3 +114,57 @@ def test_dedup_keeps_different_texts_of_one_id(spark):
     df = spark.createDataFrame([*rows, rows[1]], "doc_id long, text string, source string")
     found = [sorted(map(repr, simhash.deduplicated(df.repartition(n)).collect())) for n in (1, 3)]
     assert found[0] == found[1] == sorted(map(repr, spark.createDataFrame([rows[0], rows[1], rows[3], rows[4]], df.schema).collect()))
+
+
+class _Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_words_of_long_texts_are_cut_a_few_mb_at_once():
+    """2,000 texts were cut at once, however long: 12 MB here. Nothing is lost of what they hold."""
+    texts = [f"Word{i % 7} the common {i} " * 900 for i in range(600)] + ["", None]
+    counted, total = language_model._tally([_rows(texts)]), {}
+    for b in counted:
+        for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True):
+            total[w] = total.get(w, 0) + n
+    plain = Counter(w for t in texts if t for w in t.lower().split())
+    assert total == plain
+    table = language_model.Table(pa.array(["the", "common", "word3"]), np.array([9, 8, 7]))
+    got = list(language_model._coder(_Sent((table, 5)))([_rows(texts), _rows([]), _rows(["the end"])]))
+    ids = [i for b in got for i in b.column("doc_id").to_pylist()]
+    assert ids == [*range(602), 0]
+    size = [len(t or "") for t in [*texts, "the end"]]
+    for b, since in zip(got, np.cumsum([0, *(len(b) for b in got)]), strict=False):
+        assert sum(size[since : since + len(b)]) <= 4 << 20
+    at = {"the": 0, "common": 1, "word3": 2}
+    for b in got:
+        for i, codes, rare, n in zip(*(b.column(c).to_pylist() for c in ("doc_id", "codes", "rare", "n_tokens")), strict=True):
+            words = (texts[i] or "").lower().split() if b is not got[-1] else ["the", "end"]
+            coded = np.frombuffer(codes, "<i4")
+            assert len(coded) == n == len(words) + 1 and coded[-1] == language_model.END_CLASS
+            assert [c for c in coded[:-1].tolist() if c < language_model.FREQUENT] == [at[w] for w in words if w in at]
+            assert rare == [w for w in words if w not in at]
+
+
+def _rows(texts):
+    n = len(texts)
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts, pa.string()), pa.array([False] * n, pa.bool_())], ["doc_id", "text", "held_out"])
+
+
+def test_a_long_text_is_learned_from_in_bounded_portions(monkeypatch):
+    """All states of one text of 900,000 words were held at once. The counts are those of one call."""
+    codes = np.random.default_rng(3).integers(0, language_model.CLASSES, 900_000).astype("<i4")
+    texts = [codes[:300], codes, codes[:1]]
+    p = hmm.seeded(np.full(language_model.CLASSES, 1 / language_model.CLASSES), language_model.STATES)
+    sequences, offsets, own = language_model._parts(texts)
+    s, m, e, _ = hmm.expected_counts(sequences, offsets, p, own)
+    held, real = [], hmm.expected_counts
+    monkeypatch.setattr(hmm, "expected_counts", lambda ids, *a: held.append(len(ids)) or real(ids, *a))
+    batch = pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts], pa.binary())], ["codes"])
+    (found,) = language_model._expect(_Sent((p.start, p.move, p.emit)))([batch])
+    assert max(held) <= 1.5 * language_model.TRAINED_AT_ONCE + 2 * language_model.WINDOW
+    at, rows = found.column(0).to_numpy(), np.stack([found.column(f"s{j}").to_numpy() for j in range(language_model.STATES)], axis=1)
+    np.testing.assert_allclose(rows[at >= 0], e[at[at >= 0]], rtol=1e-9)
+    np.testing.assert_allclose(rows[(at < 0) & (at > -100)], m, rtol=1e-9)
+    np.testing.assert_allclose(rows[at == -100][0], s, rtol=1e-9)
